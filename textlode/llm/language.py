@@ -7,6 +7,7 @@ next language costs hardly more, the margin is narrow and the text is rejected.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from textlode.llm._common import held_out
 NONE = "und"
 
 
-def learn(docs: DataFrame, rows: int = 400, size: int = 1 << 18) -> dict[str, bytes]:
+def learn(docs: DataFrame, rows: int = 400, size: int = 1 << 17) -> dict[str, bytes]:
     """Dictionaries by language from documents that are not held out and have a language.
 
     The sample is bounded: of each language, about ``rows`` documents whose
@@ -53,12 +54,21 @@ def _compressors(dictionaries: dict[str, bytes], level: int):
     return out
 
 
+#: Marks around a word, and what parts the letters of one.
+_AROUND = ".,;:!?%$#&*()|\"'<>[]"
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
 def prepared(text: str) -> bytes:
     """What is compressed: the lower-cased letters of the whole text, without words that hold a digit."""
-    import regex
-
-    letters = regex.sub(r"\S*\d\S*|[^\p{L}]+", " ", text.lower())
-    return b"\n" + b" ".join(letters.encode().split()) + b"\n"
+    words: list[str] = []
+    for word in text.lower().split():
+        word = word.strip(_AROUND)
+        if word.isalpha():
+            words.append(word)
+        elif word and not any(map(str.isdigit, word)):
+            words += _BETWEEN.split(word)
+    return b"\n" + " ".join(words).encode() + b"\n"
 
 
 def phrases(data: bytes, dictionary: bytes) -> int:
@@ -73,17 +83,18 @@ def phrases(data: bytes, dictionary: bytes) -> int:
     return count
 
 
-def judge(text: str, compressors, dictionaries: dict[str, bytes], has_letter, margin: float, short: int = 256) -> tuple[str, float, bool]:
+def judge(text: str, compressors, thorough, dictionaries: dict[str, bytes], has_letter, margin: float, short: int = 256) -> tuple[str, float, bool]:
     """(language, score, rejected) of a text.
 
     The cost is the compressed size. Few bytes leave ties, as a block that does
-    not shrink is stored raw, so texts under ``short`` bytes add their phrases
-    in the dictionary as a fraction of a byte.
+    not shrink is stored raw, so texts under ``short`` bytes are compressed at a
+    more ``thorough`` level, and add their phrases in the dictionary as a
+    fraction of a byte.
     """
     if not compressors or not has_letter(text):
         return NONE, 0.0, True
     data = prepared(text)
-    costs = [(len(c.compress(data)), name) for name, c in compressors]
+    costs = [(len(c.compress(data)), name) for name, c in (thorough if len(data) < short else compressors)]
     if len(data) < short:
         costs = [(n + phrases(data, dictionaries[name]) / (2 * short), name) for n, name in costs]
     costs.sort()
@@ -93,7 +104,7 @@ def judge(text: str, compressors, dictionaries: dict[str, bytes], has_letter, ma
     return costs[0][1], score, narrow
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-4, level: int = 9) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-4, level: int = 6) -> DataFrame:
     """Return the rows of ``docs`` with lang_pred, score (0 to 1) and rejected.
 
     ``und``, score 0 and rejected if the text is null or has no letter, or no
@@ -107,9 +118,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-
         import regex
 
         has_letter = regex.compile(r"\p{L}").search
-        compressors = _compressors(dictionaries, level)
+        compressors, thorough = (_compressors(dictionaries, n) for n in (level, max(level, 12)))
         for texts in batches:
-            found = [(NONE, 0.0, True) if t is None else judge(t, compressors, dictionaries, has_letter, margin) for t in texts.to_pylist()]
+            found = [(NONE, 0.0, True) if t is None else judge(t, compressors, thorough, dictionaries, has_letter, margin) for t in texts.to_pylist()]
             langs, scores, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=out)
 
