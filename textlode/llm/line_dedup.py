@@ -7,7 +7,7 @@ length, by the places of the shared word and by a parity bitmap of the sets, all
 of which only rule out what cannot match; what is left is verified on the whole
 sets. A line goes when an earlier line matches it.
 
-Words are 64-bit hashes. The rarity order comes from a table of counts of fixed
+Words are hashes of 44 bits, which leaves room to sort them together with their line. The rarity order comes from a table of counts of fixed
 size, in which rare words may share a slot: that changes the order and what is
 compared, never the result.
 """
@@ -28,8 +28,12 @@ from textlode.llm._common import blocks, cut
 NUM, DEN = 4, 5
 #: Lines with fewer distinct words are left alone.
 LEAST_WORDS = 5
+#: Bits of a word's hash.
+WORD_BITS = 44
 #: Slots of the table of counts, bits of the filter of wanted lines, parts of either.
 SLOTS, WANTED_BITS, PARTS = 1 << 24, 1 << 25, 64
+#: Wanted lines up to which their ids may be broadcast to the scan.
+FEW = 50_000
 #: Bytes of text handled at once, postings handled at once.
 _AT_ONCE, _POSTINGS = 1 << 20, 1 << 18
 #: Postings of a word against which each later one is compared; candidates up to which all of a posting's are given.
@@ -62,7 +66,6 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """(hash, line) of each word of a text in order, and the number of its \\n-split lines; A-Z are lower-cased."""
     data = np.frombuffer(text.lower(), dtype=np.uint8)
     n = len(data)
-    newlines = np.flatnonzero(data == 10)
     word = np.zeros(n + 2, dtype=np.int8)
     word[1:-1] = ~_IS_SPACE[data]
     steps = np.diff(word)
@@ -70,21 +73,29 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     power, inverse = _powers(max(_AT_ONCE, 1 << max(1, n).bit_length()))
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * inverse[starts], 0), np.searchsorted(newlines, starts), len(newlines) + 1
+    line = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(data == 10, out=line[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts], 0) >> np.uint64(64 - WORD_BITS), line[starts].astype(np.int64), int(line[-1]) + 1
 
 
 def sets_of(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of the lines that have LEAST_WORDS: (hash, place of its line below), lines, their sizes."""
-    order = np.lexsort((hashes, lines))
-    h, line = hashes[order], lines[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[first], line[first]
-    which, at, sizes = np.unique(line, return_inverse=True, return_counts=True)
+    if len(lines) and lines[-1] >= 1 << (64 - WORD_BITS):  # more lines than the sort key has room for
+        half = len(lines) // 2
+        half = int(np.searchsorted(lines, lines[half]))
+        a, b = (sets_of(hashes[x], lines[x] - lines[x][0]) for x in (slice(0, half), slice(half, None)))
+        return tuple(np.concatenate([a[i], b[i] + (len(a[2]) if i == 1 else int(lines[half]) if i == 2 else 0)]) for i in range(4))
+    key = np.sort((lines.astype(np.uint64) << np.uint64(WORD_BITS)) | hashes)
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    key = key[first]
+    line = (key >> np.uint64(WORD_BITS)).astype(np.int64)
+    sizes = np.bincount(line)
     good = sizes >= LEAST_WORDS
+    inside = good[line]
     place = np.cumsum(good) - 1
-    inside = good[at]
-    return h[inside], place[at[inside]], which[good], sizes[good]
+    which = np.flatnonzero(good)
+    return key[inside] & np.uint64((1 << WORD_BITS) - 1), place[line[inside]], which, sizes[which]
 
 
 def _keys(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +169,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Return (doc_id, line, n, k1, k2, b1, b2, words, places): the lines that are compared, with their prefix.
+    """Return (doc_id, text_hash, line, n, k1, k2, b1, b2, words, places): the lines that are compared, with their prefix.
 
     Words that occur once in all documents are left out of the prefix, as no
     other line has them.
@@ -179,7 +190,7 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 value = np.uint64(1) << (bit & np.uint64(63))
                 b1, b2 = (np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == i, value, np.uint64(0)), starts) for i in (0, 1))
                 count = table.value[h & np.uint64(SLOTS - 1)]
-                order = np.lexsort((h, count, at))
+                order = np.argsort((at.astype(np.uint64) << np.uint64(44)) | (count.astype(np.uint64) << np.uint64(36)) | (h & np.uint64((1 << 36) - 1)), kind="stable")
                 h, at, count = h[order], at[order], count[order]
                 place = np.arange(len(h)) - starts[at]
                 chosen = (place < n[at] - -(-NUM * n[at] // DEN) + 1) & (count > 1)
@@ -187,17 +198,17 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 row = np.searchsorted(first_line, line, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row + a)),
+                        *(batch.column(i).take(pa.array(row + a)) for i in (0, 2)),
                         pa.array((line - first_line[row]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         *(pa.array(x.view(np.int64)) for x in (k1, k2, b1, b2)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(h[chosen].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(place[chosen].astype(np.int32))),
                     ],
-                    names=["doc_id", "line", "n", "k1", "k2", "b1", "b2", "words", "places"],
+                    names=["doc_id", "text_hash", "line", "n", "k1", "k2", "b1", "b2", "words", "places"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, n int, k1 long, k2 long, b1 long, b2 long, words array<long>, places array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, line int, n int, k1 long, k2 long, b1 long, b2 long, words array<long>, places array<int>")
 
 
 def _possible(n1, p1, n2, p2):
@@ -302,6 +313,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     marks = _gathered(wanted.select(did, "line", "k1").mapInArrow(mark, _SPARSE), WANTED_BITS // 8, np.uint8, np.bitwise_or, lambda t: t)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
+    if wanted.count() <= FEW:
+        docs = docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("__id")).distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,8 +344,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("y", "x").distinct().join(a, "y").join(b, "x").filter(DEN * shared >= NUM * (F.size("a") + F.size("b") - shared)).select(F.col("y").alias("sid")).distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, line, k1): the lines, from 0, for which an earlier line (by doc_id, then place) has a similarity of 4/5 or more.
+def judged(docs: DataFrame) -> DataFrame:
+    """Return (doc_id, text_hash, line, gone): the compared lines, from 0; gone if an earlier one (by doc_id, then place) has a similarity of 4/5 or more.
 
     An earlier line counts whether or not it is itself removed. Equal sets are
     joined first: their first line stands for all, the others go.
@@ -355,8 +368,8 @@ def removals(docs: DataFrame) -> DataFrame:
         more = cut(left.join(postings, "word").filter((F.col("sid") < F.col("y")) & fits & near).select("y", F.col("sid").alias("x")).distinct(), "more")
         matched = cut(matched.union(_verified(docs, sets, more)).distinct(), "matched")
     verdict = cut(sets.join(matched.withColumn("gone", F.lit(True)), "sid", "left").select("k1", "k2", F.struct("doc_id", "line").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
-    judged = lines.select("doc_id", "line", "k1", "k2").join(verdict, ["k1", "k2"])
-    return judged.filter(F.col("gone") | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).select("doc_id", "line", "k1")
+    found = lines.select("doc_id", "text_hash", "line", "k1", "k2").join(verdict, ["k1", "k2"])
+    return found.select("doc_id", "text_hash", "line", (F.col("gone") | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -365,37 +378,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``n_left`` counts the lines with at least LEAST_WORDS distinct words that
     stay; lines with fewer are never compared nor removed. A null text stays
     null and has no lines. Rows that repeat an id and a text are one document,
-    and keep or lose the same lines; of other rows with one id, a line is judged
-    by its place and words. A null id comes before all others. Columns with the
-    names of the result's counts are replaced.
+    and keep or lose the same lines; other rows with one id are judged each on
+    its own text, a line of theirs being the earliest only if both share it at
+    one place. A null id comes before all others. Columns with the names of the
+    result's counts are replaced.
     """
     out = ["n_lines", "n_removed", "n_left"]
     columns = [c for c in docs.columns if c not in out]
-    gone = removals(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line", "k1")).alias("gone"))
-    joined = docs.select(*columns).alias("d").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, lists in batches:
-            rows = []
-            for text, gone in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-                if text is None:
-                    rows.append((None, 0, 0, 0))
-                    continue
-                lines = text.split("\n")
-                hashes, at, _ = words_of(text.encode())
-                h, _, line, n = sets_of(hashes, at)
-                removed: set[int] = set()
-                if gone and len(n):
-                    keys = dict(zip(line.tolist(), _keys(h, np.cumsum(n) - n)[0].view(np.int64).tolist(), strict=True))
-                    removed = {g["line"] for g in gone if keys.get(g["line"]) == g["k1"]}
-                kept = "\n".join(x for i, x in enumerate(lines) if i not in removed) if removed else text
-                rows.append((kept, len(lines), len(removed), len(n) - len(removed)))
-            kept, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), *(pa.array(c, pa.int32()) for c in counts)], names=["text", *out])
-
-    udf = F.arrow_udf(run, "text string, n_lines int, n_removed int, n_left int")
-    found = joined.withColumn("__found", udf("text", "gone"))
-    return found.select(*(F.col(f"__found.{c}").alias(c) if c == "text" else c for c in columns), *(F.col(f"__found.{c}").alias(c) for c in out))
+    by = judged(docs).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
+    by = by.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    joined = docs.select(*columns).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    # the lines that stay, by number; the array of lines is bound once
+    kept = "array_join(transform(array(split(text, '\\n')), a -> transform(array_except(sequence(0, size(a) - 1), __gone), i -> a[i]))[0], '\\n')"
+    removed = F.coalesce(F.size("__gone"), F.lit(0))
+    counted = joined.withColumns(
+        {
+            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1),
+            "n_removed": F.when(F.col("text").isNull(), 0).otherwise(removed),
+            "n_left": F.coalesce("__left", F.lit(0)).cast("int"),
+        }
+    )
+    return counted.select(*(F.when(F.col("n_removed") > 0, F.expr(kept)).otherwise(F.col("text")).alias(c) if c == "text" else c for c in columns), *out)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
