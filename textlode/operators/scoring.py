@@ -45,6 +45,15 @@ def burrows_stage(margin: str | None) -> Stage:
     return {"burrows_delta__lo": lo, "burrows_delta__d": f"case when wc < 200 then cast(0 as double) else {m} end"}
 
 
+def _settled(column: F.Column | str) -> F.Column:
+    """The column, behind a condition that always holds but that the optimizer may not move.
+
+    A filter or a generator over a scored column would otherwise be pushed below
+    the stages, each time with all of their expressions written out in it.
+    """
+    return F.when(F.rand(0) >= -F.length("raw"), F.col(column) if isinstance(column, str) else column)
+
+
 REPORT = ["word_count", "total_logodds", "probability", "verdict", "confidence"]
 
 
@@ -63,9 +72,9 @@ def score(df: DataFrame, text: str = "text", prompt_layer: bool = True, burrows:
     layers = [k for k in LAYERS if prompt_layer or k != "prompt"]
     totals = F.create_map(*(x for k in layers for x in (F.lit(k), F.col(f"sum_{k}"))))
     columns = [F.col(f"__row.{c}").alias(c) for c in own]
-    columns += [F.col("wc").alias("word_count"), *REPORT[1:], totals.alias("layer_totals")]
+    columns += [_settled("wc").alias("word_count"), *(_settled(c).alias(c) for c in REPORT[1:]), _settled(totals).alias("layer_totals")]
     if signals_too:
-        columns += [signal_array(layers).alias("signals"), notes(prompt_layer).alias("notes")]
+        columns += [_settled(signal_array(layers)).alias("signals"), _settled(notes(prompt_layer)).alias("notes")]
     return found.select(*columns)
 
 
@@ -107,7 +116,7 @@ def human_evidence(column: str = "signals") -> F.Column:
 
 def signal_rows(df: DataFrame, *ids: str) -> DataFrame:
     """One row for each signal of a scored frame."""
-    return df.select(*ids, F.explode("signals").alias("s")).select(*ids, "s.*")
+    return df.select(*ids, F.explode_outer("signals").alias("s")).select(*ids, "s.*")
 
 
 def attribution_stages(d: Spark) -> list[Stage]:
@@ -128,4 +137,4 @@ def attribute(df: DataFrame) -> DataFrame:
     found = spark_frame(df.withColumn("__row", F.struct(*df.columns)), attribution_stages(Spark()))
     models = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"model{k}").alias("score"), F.lit(k).alias("k")) for k, m in enumerate(lx.PROFILES)))
     by = F.array_sort(F.filter(models, lambda x: x["score"] > 0), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["k"] - b["k"]))
-    return found.select("__row.*", F.transform(by, lambda x: F.struct(x["model"].alias("model"), x["score"].alias("score"))).alias("attribution"))
+    return found.select("__row.*", _settled(F.transform(by, lambda x: F.struct(x["model"].alias("model"), x["score"].alias("score")))).alias("attribution"))

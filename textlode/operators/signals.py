@@ -48,7 +48,7 @@ def clamp(x: str, bound: float) -> str:
 
 def cv(d: Spark, array: str, mean: str) -> str:
     """Sample standard deviation over the mean of an array of doubles; 0 for fewer than 2."""
-    spread = d.total(d.each(array, f"(x - {mean}) * (x - {mean})"))
+    spread = d.bind(mean, d.total(d.each(array, "(x - v) * (x - v)")))
     return f"(case when {d.size(array)} < 2 or {mean} = 0 then cast(0 as double) else sqrt({spread} / ({d.size(array)} - 1)) / {mean} end)"
 
 
@@ -104,7 +104,8 @@ def parse(d: Spark, text: str = "text") -> list[Stage]:
             "ident_rate": per_1k("idents"),
         },
         {"flags": d.fold_flags("pieces", joins), "damping": "(case when ident_rate >= 15 then cast(0.35 as double) else cast(1 as double) end)"},
-        {"sentences": d.keep(d.split(d.joined(d.each("pieces", f"concat(case when substr(flags, ix + 1, 1) = '1' then ' ' else '{_BLOCK}' end, x.s)", i=True), ""), _BLOCK), "x <> ''")},
+        # what a lambda reads from outside itself is bound first: a column that is read once may be written out in its place
+        {"sentences": d.keep(d.split(d.joined(d.bind("flags", d.each("pieces", f"concat(case when substr(v, ix + 1, 1) = '1' then ' ' else '{_BLOCK}' end, x.s)", i=True)), ""), _BLOCK), "x <> ''")},
     ]
 
 
@@ -338,7 +339,7 @@ def discourse(d: Spark) -> list[Stage]:
             "d_ease": d.each(d.keep("paras", f"{d.count('x', WORD)} >= 30"), ease),
         },
         {"d_over": overlaps, "d_reuse": f"(case when {d.size('d_long')} < 50 then cast(0 as double) else cast({d.repeated_values('d_long')} as double) / {d.size(d.distinct('d_long'))} end)", "d_ease_m": mean(d, "d_ease")},
-        {"d_spread": f"(case when {d.size('d_ease')} < 4 then cast(0 as double) else sqrt({d.total(d.each('d_ease', '(x - d_ease_m) * (x - d_ease_m)'))} / ({d.size('d_ease')} - 1)) end)"},
+        {"d_spread": f"(case when {d.size('d_ease')} < 4 then cast(0 as double) else sqrt({d.bind('d_ease_m', d.total(d.each('d_ease', '(x - v) * (x - v)')))} / ({d.size('d_ease')} - 1)) end)"},
         _pair("sentence_type_mix", f"case when {n} < 10 then 0 when d_mix >= 0.24 then -least((d_mix - 0.24) * 2.5, cast(0.6 as double)) when d_mix <= 0.10 then least((0.10 - d_mix) * 4.0, cast(0.45 as double)) * damping else 0 end", "d_mix")
         | _pair("topic_drift", "0", f"case when {d.size('d_sets')} < 4 or {d.size('d_over')} < 3 then 0 else {mean(d, 'd_over')} end")
         | _pair("rare_word_reuse", "0", "d_reuse")

@@ -38,8 +38,8 @@ def windows(df: DataFrame, window: int, stride: int, tail: bool, text: str = "te
     rest = [c for c in df.columns if c != text]
     counted = df.select(*rest, F.expr(tokens(d, f"coalesce({text}, '')")).alias("__ws")).withColumn("n", F.size("__ws")).filter(F.col("n") >= LEAST_WORDS)
     # the words of all windows of a text are cut in one place, so that the list of words is not copied to each row
-    cut = F.expr(d.each(starts(d, window, stride, tail), f"struct(x as start, least(x + {window}, n) as `end`, array_join(slice(__ws, x + 1, {window}), ' ') as text)"))
-    out = counted.select(*rest, "n", F.explode(cut).alias("__w")).select(*rest, "n", "__w.start", "__w.end", F.col("__w.text").alias(text))
+    cut = F.expr(d.bind("__ws", d.each(starts(d, window, stride, tail), f"struct(x as start, least(x + {window}, n) as `end`, array_join(slice(v, x + 1, {window}), ' ') as text)")))
+    out = counted.select(*rest, "n", F.explode_outer(cut).alias("__w")).select(*rest, "n", "__w.start", "__w.end", F.col("__w.text").alias(text))
     return out.repartition(spread) if spread else out
 
 
@@ -74,7 +74,7 @@ def triage(df: DataFrame, key: str = "doc_id", window: int = TRIAGE[0], stride:
     cells = joined.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.transform("windows", lambda w: w["start"]), F.transform("windows", lambda w: w["end"])))))
     # windows that can cover a cell: those that start within a window's length before it, and the last
     near = -(-window // stride)
-    around = f"concat(slice(windows, greatest(cast(c div {stride} as int) - {near}, 0) + 1, {near} + 1), filter(slice(windows, -1, 1), w -> size(windows) > cast(c div {stride} as int) + 1))"
+    around = f"concat(slice(windows, greatest(cast(c div {stride} as int) - {near}, 0) + 1, {near} + 1), filter(slice(windows, -1, 1), w -> size(windows) - 1 > greatest(cast(c div {stride} as int) - {near}, 0) + {near}))"
     covering = f"filter({around}, w -> w.start <= c and w.`end` > c)"
     cells = cells.withColumn("hot", F.expr(f"transform(slice(cuts, 1, greatest(size(cuts) - 1, 0)), c -> transform(array({covering}), v -> size(v) > 0 and aggregate(v, 0D, (a, w) -> a + w.probability) / size(v) >= {threshold})[0])"))
     edge = lambda side: f"filter(transform(hot, (h, i) -> if(h and not coalesce(get(hot, i {side} 1), false), cuts[i + {1 if side == '+' else 0}], null)), x -> x is not null)"
@@ -131,5 +131,5 @@ def segments(df: DataFrame, key: str = "doc_id", window: int = 3) -> DataFrame:
     parsed = spark_frame(df.select(key, "text"), parse(d)[:3]).select(key, "paras")
     size = f"greatest(1, least({window}, greatest(size(paras) div 2, 1)))"
     chunks = f"if(size(paras) = 0, cast(array() as array<string>), transform(sequence(0, greatest(size(paras) - {size}, 0)), i -> array_join(slice(paras, cast(i as int) + 1, cast({size} as int)), '\\n\\n')))"
-    rows = parsed.select(key, F.posexplode(F.expr(chunks)).alias("seg_no", "text")).filter(F.expr(f"{d.count('text', r'[^' + chr(92) + 's]+')} >= 25"))
+    rows = parsed.select(key, F.posexplode_outer(F.expr(chunks)).alias("seg_no", "text")).filter(F.expr(f"{d.count('text', r'[^' + chr(92) + 's]+')} >= 25"))
     return score(rows, signals_too=False).select(key, "seg_no", F.col("text").alias("chunk"), "probability")

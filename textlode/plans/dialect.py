@@ -184,7 +184,8 @@ class Duck(Spark):
 
     def regex(self, pattern: str, fold: bool = False, lines: bool = False) -> str:
         flags = "i" * fold + "m" * lines
-        return self.text((f"(?{flags})" if flags else "") + pattern)
+        wide = r"\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+        return self.text((f"(?{flags})" if flags else "") + pattern.replace(r"[\s", "[" + wide).replace(r"[^\s", "[^" + wide))
 
     def count(self, x: str, pattern: str, fold: bool = False, lines: bool = False) -> str:
         return f"len(regexp_extract_all({x}, {self.regex(pattern, fold, lines)}))"

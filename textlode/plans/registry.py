@@ -101,7 +101,7 @@ SQL["score_without_prompts"] = duck_query(_PROBED, scoring.all_stages(Duck(), pr
 
 def layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text")), signals_too=False)
-    return found.select("doc_id", F.explode("layer_totals").alias("layer", "total")).select("doc_id", "layer", F.round("total", 6).alias("total"))
+    return found.select("doc_id", F.explode_outer("layer_totals").alias("layer", "total")).select("doc_id", "layer", F.round("total", 6).alias("total"))
 
 
 QUERIES["layer_totals"] = layer_totals
@@ -110,7 +110,7 @@ SQL["layer_totals"] = "SELECT doc_id, layer, round(total, 6) AS total FROM (" +
 
 def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signals that say something, ranked within their document."""
-    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.posexplode(scoring.top_signals()).alias("rank", "s"))
+    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.posexplode_outer(scoring.top_signals()).alias("rank", "s")).filter("rank is not null")
     return found.select("doc_id", "rank", F.col("s.name").alias("name"), F.round("s.logodds", 6).alias("logodds"), F.col("s.direction").alias("direction"))
 
 
@@ -123,7 +123,7 @@ SQL["top_signals"] = (
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.attribute(probed(documents(spark, sf_dir).select("doc_id", "text")))
-    return found.select("doc_id", F.posexplode("attribution").alias("rank", "a")).select("doc_id", "rank", "a.model", "a.score")
+    return found.select("doc_id", F.posexplode_outer("attribution").alias("rank", "a")).filter("rank is not null").select("doc_id", "rank", "a.model", "a.score")
 
 
 QUERIES["attribution"] = attribution
