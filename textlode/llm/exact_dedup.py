@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import SPACE, cut
+from textlode.llm._common import SPACE, cut, tidy
 
 
 class CountingQuotientFilter:
@@ -108,6 +108,7 @@ def repeated(fps: DataFrame, blocks: int = 256) -> DataFrame:
     top = blocks.bit_length() - 1
     low = 64 - top
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for b in batches]
         values = np.sort(np.concatenate(values)) if values else np.zeros(0, dtype=np.uint64)

@@ -19,6 +19,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textlode.llm._common import tidy
+
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style head title template noscript iframe object svg math canvas select option button textarea".split())
@@ -268,6 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     kinds = dict(pages.dtypes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py() or "") for x in batch.column(2)]

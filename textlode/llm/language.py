@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlode.llm._common import held_out
+from textlode.llm._common import held_out, tidy
 
 #: The label of texts without a letter.
 NONE = "und"
@@ -114,6 +114,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-
     out = ["lang_pred", "score", "rejected"]
     columns = [c for c in docs.columns if c not in out]
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 

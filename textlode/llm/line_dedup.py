@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import blocks, cut
+from textlode.llm._common import blocks, cut, release, small_batches, tidy
 
 #: Similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
 #: Lines with fewer distinct words are left alone.
 LEAST_WORDS = 5
-#: Bits of a word's hash.
-WORD_BITS = 44
+#: Bits of a word's hash, and of its place in its line's order; places from the last on share it.
+WORD_BITS, PLACE_BITS = 44, 20
+LAST_PLACE = (1 << PLACE_BITS) - 1
 #: Slots of the table of counts, bits of the filter of wanted lines, parts of either.
-SLOTS, WANTED_BITS, PARTS = 1 << 24, 1 << 25, 64
+SLOTS, WANTED_BITS, PARTS = 1 << 23, 1 << 25, 64
 #: Wanted lines up to which their ids may be broadcast to the scan.
 FEW = 50_000
 #: Bytes of text handled at once, postings handled at once.
@@ -44,7 +45,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     out = []
@@ -121,6 +122,7 @@ def _gathered(parts: DataFrame, size: int, kind: type, unite, finish) -> np.ndar
     """One table of fixed size from sparse parts (part, places, values): each part is united in one task, batch by batch."""
     wide = size // PARTS
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -154,6 +156,7 @@ _SPARSE = "part int, places binary, values binary"
 def rarity(docs: DataFrame) -> np.ndarray:
     """Coded counts of all words of all documents by slot, SLOTS bytes whatever the corpus."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, dtype=np.uint32)
         for batch in batches:
@@ -169,7 +172,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Return (doc_id, text_hash, line, n, k1, k2, b1, b2, words, places): the lines that are compared, with their prefix.
+    """Return (doc_id, text_hash, line, n, k1, k2, b1, b2, prefix): the lines that are compared; a prefix entry is a word and its place.
 
     Words that occur once in all documents are left out of the prefix, as no
     other line has them.
@@ -177,6 +180,7 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, text, first_line in _texts(batch, 1):
@@ -202,19 +206,41 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         pa.array((line - first_line[row]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         *(pa.array(x.view(np.int64)) for x in (k1, k2, b1, b2)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(h[chosen].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(place[chosen].astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(((h[chosen] << np.uint64(PLACE_BITS)) | np.minimum(place[chosen], LAST_PLACE).astype(np.uint64)).view(np.int64))),
                     ],
-                    names=["doc_id", "text_hash", "line", "n", "k1", "k2", "b1", "b2", "words", "places"],
+                    names=["doc_id", "text_hash", "line", "n", "k1", "k2", "b1", "b2", "prefix"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, line int, n int, k1 long, k2 long, b1 long, b2 long, words array<long>, places array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, line int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<long>")
 
 
 def _possible(n1, p1, n2, p2):
     """Whether lines of n1 and n2 words that share the words at p1 and p2 can reach the similarity, and how many words they may differ in."""
     need = -(-NUM * (n1 + n2) // (NUM + DEN))
-    return np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need, n1 + n2 - 2 * need
+    fits = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need
+    return fits | (np.maximum(p1, p2) == LAST_PLACE), n1 + n2 - 2 * need
+
+
+def postings_of(sets: DataFrame) -> DataFrame:
+    """Return (word, sid, n, place, b1, b2): the prefix words of distinct lines."""
+    both = sets.select("sid", "n", "b1", "b2", F.explode("prefix").alias("p"))
+    return both.select(F.shiftrightunsigned("p", PLACE_BITS).alias("word"), "sid", "n", F.col("p").bitwiseAND(F.lit(LAST_PLACE)).cast("int").alias("place"), "b1", "b2")
+
+
+def in_order(first: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``sid``, unique and rising with (doc_id, line), to the distinct lines.
+
+    Whole-number ids that no two texts share make it by arithmetic, if the
+    product fits a long; otherwise the rows are dealt out by ranges of their order.
+    """
+    if dict(first.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        row = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+        low, high, longest, nulls = row
+        if low is not None and not nulls and (int(high) - int(low) + 1) * (longest + 1) < 1 << 62:
+            shared = lines.select("doc_id", "text_hash").distinct().groupBy("doc_id").count().filter("count > 1")
+            if shared.isEmpty():
+                return first.withColumn("sid", (F.col("doc_id").cast("long") - F.lit(int(low))) * (longest + 1) + F.col("line"))
+    return first.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("sid", F.monotonically_increasing_id())
 
 
 def candidates(postings: DataFrame) -> DataFrame:
@@ -259,6 +285,7 @@ def candidates(postings: DataFrame) -> DataFrame:
             np.concatenate([many, np.ones(len(late), dtype=bool)]),
         )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         carry: list[np.ndarray] | None = None
@@ -304,6 +331,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     did = F.xxhash64("doc_id").alias("did")
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(WANTED_BITS, dtype=bool)
         for batch in batches:
@@ -316,6 +344,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= FEW:
         docs = docs.join(F.broadcast(wanted.select(F.col("doc_id").alias("__id")).distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -332,7 +361,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[hit[at]].view(np.int64)))], names=["k1", "k2", "words"])
 
     sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<long>")
-    return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
+    with small_batches(docs.sparkSession):
+        return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -350,22 +380,27 @@ def judged(docs: DataFrame) -> DataFrame:
     An earlier line counts whether or not it is itself removed. Equal sets are
     joined first: their first line stands for all, the others go.
     """
-    lines = cut(lines_of(docs, rarity(docs)), "lines")
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("n", "b1", "b2", "words", "places")))
-    first = first.select("at.doc_id", "at.line", "k1", "k2", "n", "b1", "b2", "words", "places")
-    # ids that rise with the order of the lines: partitions are ranges of it
-    sets = cut(first.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    postings = sets.select("sid", "n", "b1", "b2", F.explode(F.arrays_zip("words", "places")).alias("p")).select(F.col("p.words").alias("word"), "sid", "n", F.col("p.places").alias("place"), "b1", "b2")
+    with small_batches(docs.sparkSession):
+        lines = cut(lines_of(docs, rarity(docs)), "lines")
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("n", "b1", "b2", "prefix")))
+    first = first.select("at.doc_id", "at.line", "k1", "k2", "n", "b1", "b2", "prefix")
+    sets = cut(in_order(first, lines), "sets")
+    release(docs.sparkSession)
+    postings = postings_of(sets)
     found = cut(candidates(postings), "candidates")
+    release(docs.sparkSession)
     matched = cut(_verified(docs, sets, found), "matched")
+    release(docs.sparkSession)
     again = cut(found.filter("more").select(F.col("y").alias("sid")).distinct().join(matched, "sid", "left_anti"), "again")
     if not again.isEmpty():
-        left = sets.join(again, "sid", "left_semi").select("sid", "n", "b1", "b2", F.explode(F.arrays_zip("words", "places")).alias("p"))
-        left = left.select(F.col("p.words").alias("word"), F.col("sid").alias("y"), F.col("n").alias("n2"), F.col("p.places").alias("p2"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
+        # few lines are left: their words go to where the others' are; more of them meet those in a shuffle
+        left = postings_of(sets.join(again, "sid", "left_semi"))
+        left = left.select("word", F.col("sid").alias("y"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
         need = F.ceil((F.col("n") + F.col("n2")) * NUM / (NUM + DEN) - 1e-9)
-        fits = F.least("place", "p2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) >= need
+        fits = (F.greatest("place", "p2") == LAST_PLACE) | (F.least("place", "p2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) >= need)
         near = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= F.col("n") + F.col("n2") - 2 * need
-        more = cut(left.join(postings, "word").filter((F.col("sid") < F.col("y")) & fits & near).select("y", F.col("sid").alias("x")).distinct(), "more")
+        left = F.broadcast(left) if again.count() <= FEW else left
+        more = cut(postings.join(left, "word").filter((F.col("sid") < F.col("y")) & fits & near).select("y", F.col("sid").alias("x")).distinct(), "more")
         matched = cut(matched.union(_verified(docs, sets, more)).distinct(), "matched")
     verdict = cut(sets.join(matched.withColumn("gone", F.lit(True)), "sid", "left").select("k1", "k2", F.struct("doc_id", "line").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
     found = lines.select("doc_id", "text_hash", "line", "k1", "k2").join(verdict, ["k1", "k2"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import cut, ranked, salts_for
+from textlode.llm._common import cut, ranked, salts_for, tidy
 
 
 @functools.cache
@@ -71,6 +71,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     path = path or vocabulary()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
@@ -166,6 +167,7 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     order = ["doc_id", "piece"]
     placed = ranked(pieces, ["length"], order, "rank", salts_for(max(counts.values(), default=1)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import held_out
+from textlode.llm._common import held_out, tidy
 
 FEATURES = (
     "log_bytes log_words log_lines word_length upper digits ascii_marks bars bangs other_marks non_ascii sentence_ends commas "
@@ -191,6 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     schema = "label int, x array<double>"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(_matrix(batch.column(0))), pa.list_(pa.float64()))], names=["label", "x"])
@@ -211,6 +212,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(shared.value.scores(_matrix(texts)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import cut
+from textlode.llm._common import cut, tidy
 from textlode.llm.components import components
 
 #: Shingles whose bits are counted at once.
@@ -50,6 +50,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Return (doc_id, fp long): one row per document; a null text is an empty one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
