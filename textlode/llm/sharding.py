@@ -2,8 +2,8 @@
 
 Documents that are linked (here: equal texts) want to sit in one shard. They
 start dealt out evenly, then move in rounds: each document looks up, by a join,
-how many of its links every shard holds, and asks to move to the one that holds
-most. Quotas keep the shards even: for each pair of shards only as many move one
+how many of its links every shard holds and has room for, and asks to move to
+the one that can hold most of them. Quotas keep the shards even: for each pair of shards only as many move one
 way as come the other way, documents without links making up the difference.
 """
 
@@ -75,8 +75,13 @@ def propagate(rows: DataFrame, shards: int = 40, rounds: int = 6) -> DataFrame:
     start = cut(ranked(own.withColumn("one", F.lit(0)).withColumn("key", F.xxhash64("row_id")), ["one"], ["key", "row_id"], "rank", salts_for(total)).select("row_id", "group", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "start")
     for _ in range(rounds):
         here = start.filter(F.col("group").isNotNull()).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+        # the shard that can hold most of the group together: what is there, and what free rows would make room for
+        room = start.filter(F.col("group").isNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
+        whole = here.groupBy("group").agg(F.sum("n").alias("size"))
+        seen = here.join(whole, "group").join(F.broadcast(room), "shard", "left")
+        together = F.least("size", F.col("n") + F.coalesce("free", F.lit(0)))
         tie = F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 30))
-        best = here.groupBy("group").agg(F.max(F.struct("n", tie.alias("tie"), "shard")).alias("best")).select("group", F.col("best.shard").alias("want"))
+        best = seen.groupBy("group").agg(F.max(F.struct(together.alias("together"), "n", tie.alias("tie"), "shard")).alias("best")).select("group", F.col("best.shard").alias("want"))
         asks = cut(start.join(best, "group", "left").withColumn("want", F.coalesce("want", "shard")), "asks")
         moves = {(r[0], r[1]): r[2] for r in asks.filter("want != shard").groupBy("shard", "want").count().collect()}
         if not moves:
