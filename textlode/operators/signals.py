@@ -149,7 +149,7 @@ def forensics(d: Spark) -> list[Stage]:
         | _pair("smart_quotes", f"case when f_smart = 0 then 0 when f_straight > 0 then {mixed} else {sat('cast(f_smart as double)', 4.0, 0.9)} end", "f_smart")
         | _pair("unicode_symbols", sat(per_1k("f_sym"), 4.0, 0.8), "f_sym")
         | _pair("markdown_density", f"case when f_md = 0 then 0 else {sat('(f_md * 100 / greatest(wc, 1))', 6.0, 1.0)} + (case when f_kinds >= 3 then 0.45 else 0 end) end", "f_md * 100 / greatest(wc, 1)")
-        | _pair("typo_absence", f"case when wc < 300 then 0 when f_irr = 0 then {zero} else -{sat(per_1k('f_irr'), 4.0, 1.1)} end", f"case when wc < 300 then 0 else {per_1k('f_irr')} end")
+        | _pair("typo_absence", f"case when wc < 300 then 0 when f_irr = 0 then {zero} else 0 - {sat(per_1k('f_irr'), 4.0, 1.1)} end", f"case when wc < 300 then 0 else {per_1k('f_irr')} end")
     )
     return out
 
@@ -172,7 +172,7 @@ def lexical(d: Spark) -> list[Stage]:
         out |= _pair(names[k - 1], sat(n if k == 4 else f"(({n} + {per_1k(n)}) / 2)", mid, cap), n)
     out |= _pair("negative_parallelism", sat("cast(l_neg as double)", 1.2, 1.6), "l_neg")
     out |= _pair("rule_of_three", sat(per_1k("l_triad"), 4.0, 0.8), per_1k("l_triad"))
-    out |= _pair("human_markers", "-" + sat(f"((cast(l_human as double) + {per_1k('l_human')}) / 2)", 4.0, 2.0), "l_human")
+    out |= _pair("human_markers", "0 - " + sat(f"((cast(l_human as double) + {per_1k('l_human')}) / 2)", 4.0, 2.0), "l_human")
     return [hits, out]
 
 
@@ -234,7 +234,7 @@ def structural(d: Spark) -> list[Stage]:
         | _pair("section_balance", f"case when {d.size('r_sections')} < 3 or r_sec_cv >= 0.35 then 0 else least((0.35 - r_sec_cv) * 2.6, cast(0.7 as double)) end", f"case when {d.size('r_sections')} < 3 then 0 else r_sec_cv end")
         | _pair(
             "identifier_dispersion",
-            f"case when {d.size('r_big')} < 4 or ident_rate < 15 then 0 when r_disp >= 0.85 then least((r_disp - 0.85) * 2.0 + 0.45, cast(0.6 as double)) when r_disp <= 0.50 then -least((0.50 - r_disp) * 1.6 + 0.30, cast(0.6 as double)) else 0 end",
+            f"case when {d.size('r_big')} < 4 or ident_rate < 15 then 0 when r_disp >= 0.85 then least((r_disp - 0.85) * 2.0 + 0.45, cast(0.6 as double)) when r_disp <= 0.50 then 0 - least((0.50 - r_disp) * 1.6 + 0.30, cast(0.6 as double)) else 0 end",
             f"case when {d.size('r_big')} < 4 or ident_rate < 15 then 0 else r_disp end",
         ),
     ]
@@ -272,7 +272,7 @@ def code(d: Spark) -> list[Stage]:
         _pair("docstring_uniformity", f"case when c_ratio >= 0.95 then {sat('cast(c_defs as double)', 4.0, 0.9)} else 0 end", "c_ratio")
         | _pair("comment_density", f"case when c_bare < 15 then 0 else (case when c_dens > 0.28 then least((c_dens - 0.28) * 2.0, cast(0.6 as double)) else 0 end) + (case when c_restated >= 3 then {sat('cast(c_restated as double)', 3.0, 0.8)} else 0 end) end", "c_dens")
         | _pair("generic_identifiers", "case when c_gen < 0.2 then 0 else least(c_gen * 1.6, cast(0.7 as double)) end", "c_gen")
-        | _pair("human_traces", f"case when not is_code or c_n < 40 then 0 when c_traces = 0 then 0.7 else -{sat('cast(c_traces as double)', 2.0, 1.1)} end", "case when c_n < 40 then 0 else c_traces end")
+        | _pair("human_traces", f"case when not is_code or c_n < 40 then 0 when c_traces = 0 then 0.7 else 0 - {sat('cast(c_traces as double)', 2.0, 1.1)} end", "case when c_n < 40 then 0 else c_traces end")
         | _pair("appended_demo", "case when c_demo > 0 then 0.35 else 0 end", "c_demo")
         | _pair("emoji_output", sat("cast(c_emoji as double)", 1.5, 1.0), "c_emoji")
         | _pair("defensive_uniformity", "case when c_def < 0.5 then 0 else least(c_def * 0.7, cast(0.6 as double)) end", "c_def"),
@@ -312,7 +312,7 @@ def stance(d: Spark) -> list[Stage]:
         {"t_dens": per_1k("(t_person + t_meta + t_quest)"), "t_top": f"(case when wc < 300 or {d.size('t_content')} < 100 then cast(0 as double) else {per_1k(d.longest_run('t_content'))} end)"},
         _pair(
             "authorial_absence",
-            f"case when wc < 180 then 0 when t_dens < 8 then (0.50 + 1.00 * {curb}) * (1.0 - 0.25 * (t_dens / 8)) * damping when t_dens >= 55 then -{sat('((t_dens - 55) / 15)', 2.0, 1.4)} else (55 - t_dens) / 47 * 0.45 * damping end",
+            f"case when wc < 180 then 0 when t_dens < 8 then (0.50 + 1.00 * {curb}) * (1.0 - 0.25 * (t_dens / 8)) * damping when t_dens >= 55 then 0 - {sat('((t_dens - 55) / 15)', 2.0, 1.4)} else (55 - t_dens) / 47 * 0.45 * damping end",
             "case when wc < 180 then 0 else t_dens end",
         )
         | _pair("term_invariance", "case when t_top < 25 then 0 else least((t_top - 25) * 0.025, cast(0.7 as double)) end", "t_top")
@@ -340,7 +340,7 @@ def discourse(d: Spark) -> list[Stage]:
         },
         {"d_over": overlaps, "d_reuse": f"(case when {d.size('d_long')} < 50 then cast(0 as double) else cast({d.repeated_values('d_long')} as double) / {d.size(d.distinct('d_long'))} end)", "d_ease_m": mean(d, "d_ease")},
         {"d_spread": f"(case when {d.size('d_ease')} < 4 then cast(0 as double) else sqrt({d.bind('d_ease_m', d.total(d.each('d_ease', '(x - v) * (x - v)')))} / ({d.size('d_ease')} - 1)) end)"},
-        _pair("sentence_type_mix", f"case when {n} < 10 then 0 when d_mix >= 0.24 then -least((d_mix - 0.24) * 2.5, cast(0.6 as double)) when d_mix <= 0.10 then least((0.10 - d_mix) * 4.0, cast(0.45 as double)) * damping else 0 end", "d_mix")
+        _pair("sentence_type_mix", f"case when {n} < 10 then 0 when d_mix >= 0.24 then 0 - least((d_mix - 0.24) * 2.5, cast(0.6 as double)) when d_mix <= 0.10 then least((0.10 - d_mix) * 4.0, cast(0.45 as double)) * damping else 0 end", "d_mix")
         | _pair("topic_drift", "0", f"case when {d.size('d_sets')} < 4 or {d.size('d_over')} < 3 then 0 else {mean(d, 'd_over')} end")
         | _pair("rare_word_reuse", "0", "d_reuse")
         | _pair("readability_variance", "0", "d_spread"),

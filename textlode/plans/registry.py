@@ -198,7 +198,8 @@ _SEGMENTS = (
     "SELECT doc_id, i AS seg_no, array_to_string(paras[i + 1 : i + w], chr(10) || chr(10)) AS text FROM (SELECT doc_id, paras, w, unnest(range(0, len(paras) - w + 1)) AS i FROM (SELECT doc_id, paras, greatest(1, least(3, greatest(len(paras) // 2, 1))) AS w FROM ("
     + duck_query(_PROBED, signals.parse(Duck())[:3], "doc_id, paras") + ") WHERE len(paras) > 0))"
 )
-SQL["segment_scores"] = f"SELECT doc_id, seg_no::INT AS seg_no, md5(text) AS chunk_md5, round(probability, 6) AS probability FROM ({duck_query(f'SELECT * FROM ({_SEGMENTS}) WHERE len(regexp_extract_all(text, {chr(39)}[^{chr(92)}s]+{chr(39)})) >= 25', scoring.all_stages(Duck()), 'doc_id, seg_no, text, probability')})"
+_LONG_SEGMENTS = f"SELECT * FROM ({_SEGMENTS}) WHERE {Duck().count('text', '[^' + chr(92) + 's]+')} >= 25"
+SQL["segment_scores"] = f"SELECT doc_id, seg_no::INT AS seg_no, md5(text) AS chunk_md5, round(probability, 6) AS probability FROM ({duck_query(_LONG_SEGMENTS, scoring.all_stages(Duck()), 'doc_id, seg_no, text, probability')})"
 
 
 # --- stylometry ------------------------------------------------------------
