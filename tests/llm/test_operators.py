@@ -231,6 +231,16 @@ def test_mixing(spark, odd, empty, docs):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_mixing_against_sql(spark, odd, docs, small):
+    import duckdb
+
+    for df in (odd, docs):
+        documents = df.select("doc_id", "text", "source").toPandas()  # noqa: F841
+        mine = mixing.mix(df).selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken").collect()
+        key = lambda rows: sorted(str((None if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2], round(r[3], 6), r[4])) for r in rows)
+        assert key(mine) == key(duckdb.sql(mixing.SQL).fetchall())
+
+
 @pytest.mark.parametrize("bins", [1, 64])
 def test_mixing_does_not_depend_on_bins(docs, bins):
     key = lambda df: {(r.doc_id, r.copies) for r in df.collect()}

@@ -18,7 +18,7 @@ def plain_mix(spark, rows):
         by[r["source"]].append(r)
     total = [(s, sum(sizes[r["doc_id"]] for r in v)) for s, v in by.items()]
     goal = {r.source: r.target for r in mixing.targets(spark.createDataFrame(total, "source string, source_size long")).collect()}
-    draws = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").selectExpr("doc_id", "crc32(cast(text as binary)) as crc").withColumn("u", mixing.draw(7, "doc_id", "crc"))
+    draws = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").select("doc_id", mixing.mark().alias("mark")).withColumn("u", mixing.draw(7, "doc_id", "mark"))
     u = {r.doc_id: r.u for r in draws.collect()}
     out = Counter()
     for source, size in total:

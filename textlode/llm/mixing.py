@@ -26,6 +26,11 @@ def words(text: str = "text") -> Column:
     return F.when(F.length(trimmed) > 0, parts - ends).otherwise(0).cast("long")
 
 
+def mark(text: str = "text") -> Column:
+    """A whole number that stands for the text beside the id in the draw; a null text is an empty one."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def draw(seed: int, *columns: str) -> Column:
     """A number over 0 and under 1 from the seed and the columns, the same in every run and engine."""
     key = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
@@ -65,8 +70,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, bi
     the draw; only the bin in which the target falls is ranked row by row, so
     that a source of any size is no single task.
     """
-    own = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), words().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
-    own = cut(own.withColumn("u", draw(seed, "doc_id", "crc")).withColumn("bin", F.floor(F.col("u") * bins).cast("int")), "sizes")
+    own = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), words().alias("size"), mark().alias("mark"))
+    own = cut(own.withColumn("u", draw(seed, "doc_id", "mark")).withColumn("bin", F.floor(F.col("u") * bins).cast("int")), "sizes")
     by = ["name", "unnamed"]
     binned = cut(own.groupBy(*by, "bin").agg(F.sum("size").alias("words")), "bins")
     source = F.when(~F.col("unnamed"), F.col("name"))
@@ -86,25 +91,53 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, bi
     found = own.join(F.broadcast(goal) if goal.count() <= 100_000 else goal, by)
     odds = (F.col("u") / (1 - F.col("u"))) / F.when(F.col("share") > 0, F.col("share") / (1 - F.least("share", F.lit(1 - 1e-12)))).otherwise(1e-300)
     edge = found.filter(F.col("bin") == F.col("cut_bin")).withColumn("order", odds)
-    in_order = Window.partitionBy(*by).orderBy("order", "doc_id", "crc")
+    in_order = Window.partitionBy(*by).orderBy("order", "doc_id", "mark")
     summed = edge.withColumn("to", F.col("before") + F.sum("size").over(in_order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("size"))
     # the cut that comes nearest: a document whose middle lies before the target is in
-    last = summed.filter((F.col("from") + F.col("to")) / 2 <= F.col("rest")).groupBy(*by).agg(F.max(F.struct("order", "doc_id", "crc")).alias("last"))
+    last = summed.filter((F.col("from") + F.col("to")) / 2 <= F.col("rest")).groupBy(*by).agg(F.max(F.struct("order", "doc_id", "mark")).alias("last"))
     last = goal.select(*by).join(last, by, "left")
     found = found.withColumn("order", odds).join(F.broadcast(last) if goal.count() <= 100_000 else last, by)
     inside = F.when(F.col("share") <= 0, False).when(F.col("bin") < F.col("cut_bin"), True).when(F.col("bin") > F.col("cut_bin"), False)
-    inside = inside.otherwise(F.coalesce(F.struct("order", "doc_id", "crc") <= F.col("last"), F.lit(False)))
-    return found.select("doc_id", F.when(~F.col("unnamed"), F.col("name")).alias("source"), "size", "crc", "source_size", "target", F.least(F.col("whole") + inside.cast("int"), F.lit(MOST)).alias("copies"))
+    inside = inside.otherwise(F.coalesce(F.struct("order", "doc_id", "mark") <= F.col("last"), F.lit(False)))
+    return found.select("doc_id", F.when(~F.col("unnamed"), F.col("name")).alias("source"), "size", "mark", "source_size", "target", F.least(F.col("whole") + inside.cast("int"), F.lit(MOST)).alias("copies"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs, weights, seed).filter("copies > 0").select("doc_id", "crc", F.col("source").alias("s"), "copies").distinct()
-    marked = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = marked.join(taken, marked["doc_id"].eqNullSafe(taken["doc_id"]) & (marked["__crc"] == taken["crc"]) & marked["source"].eqNullSafe(taken["s"]))
+    taken = mix(docs, weights, seed).filter("copies > 0").select("doc_id", "mark", F.col("source").alias("s"), "copies").distinct()
+    marked = docs.withColumn("__mark", mark())
+    joined = marked.join(taken, marked["doc_id"].eqNullSafe(taken["doc_id"]) & (marked["__mark"] == taken["mark"]) & marked["source"].eqNullSafe(taken["s"]))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(docs[c] for c in docs.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: DuckDB, over the same tables.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT AS mark FROM documents
+), u AS (
+  SELECT *, (('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null') || '|' || mark), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM u GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 3::DOUBLE * source_size AS cap FROM s
+), l AS (
+  SELECT *, cap / w AS full_at,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), g AS (
+  SELECT source, source_size, least(cap, (SELECT arg_min(level, full_at) FILTER (level <= full_at) FROM l) * w) AS target FROM l
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM g
+), o AS (
+  SELECT u.*, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, mark) AS up_to FROM u
+)
+SELECT doc_id, size, source_size, target,
+  (size * least(3, whole + (target - whole * source_size > 0 AND up_to - size / 2 <= target - whole * source_size)::INT))::BIGINT AS taken
+FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.source
+"""

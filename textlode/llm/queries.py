@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
 }
 
-SQL = {"op6_line_frequency": line_frequency.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_mixing": mixing.SQL, "op6_line_frequency": line_frequency.SQL, "op9_exact_dedup": exact_dedup.SQL}
