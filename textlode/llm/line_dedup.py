@@ -323,6 +323,15 @@ def _wanted_key(did: np.ndarray, line: np.ndarray, k1: np.ndarray) -> np.ndarray
     return _mixed(k1 ^ _mixed(did + line.astype(np.uint64), 4), 5) & np.uint64(WANTED_BITS - 1)
 
 
+def _document_key(did: np.ndarray) -> np.ndarray:
+    """The place of a document that has a wanted line, so that the others need not be split into words."""
+    return _mixed(did, 6) & np.uint64(WANTED_BITS - 1)
+
+
+def _marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (marks[key >> np.uint64(3)] >> (7 - (key & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Return (sid, words): the whole sets of ``wanted`` (sid, doc_id, line, k1, k2), read from the texts again.
 
@@ -337,6 +346,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             d, line, k1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             bits[_wanted_key(d.view(np.uint64), line, k1.view(np.uint64))] = True
+            bits[_document_key(d.view(np.uint64))] = True
         yield _scattered(np.packbits(bits))
 
     marks = _gathered(wanted.select(did, "line", "k1").mapInArrow(mark, _SPARSE), WANTED_BITS // 8, np.uint8, np.bitwise_or, lambda t: t)
@@ -348,6 +358,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            some = _marked(shared.value, _document_key(ids))
+            batch, ids = batch.filter(pa.array(some)), ids[some]
             for a, _, text, first_line in _texts(batch, 1):
                 hashes, lines, _ = words_of(text)
                 h, at, line, n = sets_of(hashes, lines)
@@ -356,7 +368,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 k1, k2 = _keys(h, np.cumsum(n) - n)
                 row = np.searchsorted(first_line, line, side="right") - 1
                 key = _wanted_key(ids[row + a], line - first_line[row], k1)
-                hit = (shared.value[key >> np.uint64(3)] >> (7 - (key & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                hit = _marked(shared.value, key)
                 ends = np.append(0, np.cumsum(n[hit])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[hit[at]].view(np.int64)))], names=["k1", "k2", "words"])
 
