@@ -74,7 +74,7 @@ def parse(d: Spark, text: str = "text") -> list[Stage]:
         "(not x.f and right(a.t, 1) = '.' and ("
         + d.in_words(d.extract("lower(a.t)", r"([a-z][a-z'’-]*)[^a-z]*$"), lx.ABBREVIATIONS)
         + " or "
-        + d.has("a.t", r"\b[A-Z]\.$")
+        + d.has("a.t", r"(?:^|[^\w\x{C0}-\x{24F}])[A-Z]\.$" if duck else r"\b[A-Z]\.$")
         + "))"
     )
     tail = r"(?:[,;:\-–—(\[{]|\b(?:" + "|".join(lx.CONTINUING_WORDS) + r")\s*)$"
