@@ -89,3 +89,24 @@ def test_stages_take_odd_tables(spark, small):
             found = stage(spark, docs, small)
             assert name == "pack" or found.columns == docs.columns
             found.count()
+
+
+def test_near_copies_of_five_word_similarity_go(spark, small):
+    """Against all pairs; fingerprints of many of them differ in more than 2 bits."""
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    given = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in given.collect()}
+    base = [f"w{i}" for i in range(60)]
+    made = [" ".join(base), " ".join(base[:30] + ["x"] + base[31:]), " ".join(base[:58]), "a b c d", "A b  c d", "a b c d e", "", None]
+    texts |= {10**6 + i: t for i, t in enumerate(made)}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert any((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, small)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(set(texts) - {b for _, b in pairs})

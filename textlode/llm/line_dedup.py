@@ -26,8 +26,10 @@ from textlode.llm._common import blocks, cut, release, small_batches, tidy
 
 #: Similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: Lines with fewer distinct words are left alone.
+#: Lines with fewer distinct words are left alone, unless the caller asks for them.
 LEAST_WORDS = 5
+#: Sets of fewer words match none but their equals: one word more is already a similarity under 4/5 (four of five words still reach it).
+ALONE = NUM // (DEN - NUM)
 #: Bits of a word's hash, and of its place in its line's order; places from the last on share it.
 WORD_BITS, PLACE_BITS = 44, 20
 LAST_PLACE = (1 << PLACE_BITS) - 1
@@ -63,7 +65,7 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+def words_of(text: bytes, bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarray, int]:
     """(hash, line) of each word of a text in order, and the number of its \\n-split lines; A-Z are lower-cased."""
     data = np.frombuffer(text.lower(), dtype=np.uint8)
     n = len(data)
@@ -76,15 +78,36 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     line = np.zeros(n + 1, dtype=np.int32)
     np.cumsum(data == 10, out=line[1:])
-    return _mixed((sums[ends] - sums[starts]) * inverse[starts], 0) >> np.uint64(64 - WORD_BITS), line[starts].astype(np.int64), int(line[-1]) + 1
-
-
-def sets_of(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of the lines that have LEAST_WORDS: (hash, place of its line below), lines, their sizes."""
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts], 0) >> np.uint64(64 - bits), line[starts].astype(np.int64), int(line[-1]) + 1
+
+
+def shingles_of(text: bytes, first_line: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of 64 bits, row) of the shingles of joined texts; a row of fewer words is one shingle, if of none an empty one."""
+    hashes, lines, _ = words_of(text, 64)
+    row = np.searchsorted(first_line, lines, side="right") - 1
+    counts = np.bincount(row, minlength=len(first_line))
+    whole = max(0, len(hashes) - shingle + 1)
+    out = np.zeros(whole, dtype=np.uint64)
+    for k in range(shingle):
+        out = out * np.uint64(_BASE) + hashes[k : whole + k]
+    inside = row[:whole] == row[len(row) - whole :]
+    out, rows = out[inside], row[:whole][inside]
+    short = np.flatnonzero(counts < shingle)
+    start, h = (np.cumsum(counts) - counts)[short], counts[short].astype(np.uint64)
+    for k in range(shingle - 1):
+        more = k < counts[short]
+        h[more] = h[more] * np.uint64(_BASE) + hashes[start[more] + k]
+    out, rows = np.append(out, h), np.append(rows, short)
+    order = np.argsort(rows, kind="stable")
+    return _mixed(out[order], 7), rows[order]
+
+
+def sets_of(hashes: np.ndarray, lines: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the lines that have ``least``: (hash, place of its line below), lines, their sizes."""
     if len(lines) and lines[-1] >= 1 << (64 - WORD_BITS):  # more lines than the sort key has room for
         half = len(lines) // 2
         half = int(np.searchsorted(lines, lines[half]))
-        a, b = (sets_of(hashes[x], lines[x] - lines[x][0]) for x in (slice(0, half), slice(half, None)))
+        a, b = (sets_of(hashes[x], lines[x] - lines[x][0], least) for x in (slice(0, half), slice(half, None)))
         return tuple(np.concatenate([a[i], b[i] + (len(a[2]) if i == 1 else int(lines[half]) if i == 2 else 0)]) for i in range(4))
     key = np.sort((lines.astype(np.uint64) << np.uint64(WORD_BITS)) | hashes)
     first = np.ones(len(key), dtype=bool)
@@ -92,7 +115,7 @@ def sets_of(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarr
     key = key[first]
     line = (key >> np.uint64(WORD_BITS)).astype(np.int64)
     sizes = np.bincount(line)
-    good = sizes >= LEAST_WORDS
+    good = sizes >= least
     inside = good[line]
     place = np.cumsum(good) - 1
     which = np.flatnonzero(good)
@@ -104,6 +127,35 @@ def _keys(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.add.reduceat(_mixed(h, i), starts) for i in (1, 2))
 
 
+def _keyed(text: bytes, first_line: np.ndarray, least: int, shingle: int) -> tuple[np.ndarray, ...]:
+    """(hash, place of its set below), the sets' lines, rows, sizes and 128-bit keys. The sets are the lines, or with ``shingle`` the whole texts.
+
+    A set too small to match any but its equal is taken by its key alone, which is made of whole hashes there.
+    """
+    if shingle:
+        full, lines = shingles_of(text, first_line, shingle)
+    else:
+        full, lines, _ = words_of(text, 64)
+    h, at, line, n = sets_of(full >> np.uint64(64 - WORD_BITS), lines, least)
+    if not len(n):
+        return h, at, line, line, n, h, h
+    k1, k2 = _keys(h, np.cumsum(n) - n)
+    small = n < ALONE
+    if small.any():
+        wanted = np.zeros(int(lines[-1]) + 1, dtype=bool)
+        wanted[line[small]] = True
+        inside = wanted[lines]
+        f, own = full[inside], lines[inside]
+        order = np.lexsort((f, own))
+        f, own = f[order], own[order]
+        first = np.ones(len(f), dtype=bool)
+        first[1:] = (f[1:] != f[:-1]) | (own[1:] != own[:-1])
+        f, own = f[first], own[first]
+        k2[small] = np.add.reduceat(_mixed(f, 2), np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+    row = line if shingle else np.searchsorted(first_line, line, side="right") - 1
+    return h, at, np.zeros_like(line) if shingle else line - first_line[row], row, n, k1, k2
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, end, joined texts, first line of each row) in blocks of bounded bytes; null is empty."""
     texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -153,15 +205,16 @@ def _scattered(table: np.ndarray) -> pa.RecordBatch:
 _SPARSE = "part int, places binary, values binary"
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Coded counts of all words of all documents by slot, SLOTS bytes whatever the corpus."""
+def rarity(docs: DataFrame, shingle: int = 0) -> np.ndarray:
+    """Coded counts of all words, or shingles, of all documents by slot, SLOTS bytes whatever the corpus."""
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, dtype=np.uint32)
         for batch in batches:
-            for _, _, text, _ in _texts(batch, 0):
-                slots, n = np.unique(words_of(text)[0] & np.uint64(SLOTS - 1), return_counts=True)
+            for _, _, text, first_line in _texts(batch, 0):
+                hashes = shingles_of(text, first_line, shingle)[0] >> np.uint64(64 - WORD_BITS) if shingle else words_of(text)[0]
+                slots, n = np.unique(hashes & np.uint64(SLOTS - 1), return_counts=True)
                 table[slots] += n.astype(np.uint32)
         yield _scattered(table)
 
@@ -171,7 +224,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return _gathered(docs.select("text").mapInArrow(count, _SPARSE), SLOTS, np.uint32, unite, _coded)
 
 
-def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def lines_of(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, shingle: int = 0) -> DataFrame:
     """Return (doc_id, text_hash, line, n, k1, k2, b1, b2, prefix): the lines that are compared; a prefix entry is a word and its place.
 
     Words that occur once in all documents are left out of the prefix, as no
@@ -184,12 +237,10 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, text, first_line in _texts(batch, 1):
-                hashes, lines, _ = words_of(text)
-                h, at, line, n = sets_of(hashes, lines)
+                h, at, line, row, n, k1, k2 = _keyed(text, first_line, least, shingle)
                 starts = np.cumsum(n) - n
                 if not len(n):
                     continue
-                k1, k2 = _keys(h, starts)
                 bit = _mixed(h, 3) >> np.uint64(57)
                 value = np.uint64(1) << (bit & np.uint64(63))
                 b1, b2 = (np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == i, value, np.uint64(0)), starts) for i in (0, 1))
@@ -197,13 +248,12 @@ def lines_of(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 order = np.argsort((at.astype(np.uint64) << np.uint64(44)) | (count.astype(np.uint64) << np.uint64(36)) | (h & np.uint64((1 << 36) - 1)), kind="stable")
                 h, at, count = h[order], at[order], count[order]
                 place = np.arange(len(h)) - starts[at]
-                chosen = (place < n[at] - -(-NUM * n[at] // DEN) + 1) & (count > 1)
+                chosen = (place < n[at] - -(-NUM * n[at] // DEN) + 1) & (count > 1) & (n[at] >= ALONE)
                 ends = np.append(0, np.cumsum(np.bincount(at[chosen], minlength=len(n)))).astype(np.int32)
-                row = np.searchsorted(first_line, line, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).take(pa.array(row + a)) for i in (0, 2)),
-                        pa.array((line - first_line[row]).astype(np.int32)),
+                        pa.array(line.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         *(pa.array(x.view(np.int64)) for x in (k1, k2, b1, b2)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(((h[chosen] << np.uint64(PLACE_BITS)) | np.minimum(place[chosen], LAST_PLACE).astype(np.uint64)).view(np.int64))),
@@ -332,7 +382,7 @@ def _marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (marks[key >> np.uint64(3)] >> (7 - (key & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 0) -> DataFrame:
     """Return (sid, words): the whole sets of ``wanted`` (sid, doc_id, line, k1, k2), read from the texts again.
 
     A filter of fixed size tells the scan which lines to give; those it lets
@@ -361,13 +411,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             some = _marked(shared.value, _document_key(ids))
             batch, ids = batch.filter(pa.array(some)), ids[some]
             for a, _, text, first_line in _texts(batch, 1):
-                hashes, lines, _ = words_of(text)
-                h, at, line, n = sets_of(hashes, lines)
+                h, at, line, row, n, k1, k2 = _keyed(text, first_line, ALONE, shingle)
                 if not len(n):
                     continue
-                k1, k2 = _keys(h, np.cumsum(n) - n)
-                row = np.searchsorted(first_line, line, side="right") - 1
-                key = _wanted_key(ids[row + a], line - first_line[row], k1)
+                key = _wanted_key(ids[row + a], line, k1)
                 hit = _marked(shared.value, key)
                 ends = np.append(0, np.cumsum(n[hit])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[hit[at]].view(np.int64)))], names=["k1", "k2", "words"])
@@ -377,23 +424,25 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = 0) -> DataFrame:
     """The lines y (sid) of ``pairs`` (y, x) whose whole sets reach the similarity."""
     ends = pairs.select(F.col("y").alias("sid")).union(pairs.select("x")).distinct()
-    whole = _whole_sets(docs, sets.join(ends, "sid", "left_semi").select("sid", "doc_id", "line", "k1", "k2"))
+    whole = _whole_sets(docs, sets.join(ends, "sid", "left_semi").select("sid", "doc_id", "line", "k1", "k2"), shingle)
     a, b = whole.toDF("y", "a"), whole.toDF("x", "b")
     shared = F.size(F.array_intersect("a", "b"))
     return pairs.select("y", "x").distinct().join(a, "y").join(b, "x").filter(DEN * shared >= NUM * (F.size("a") + F.size("b") - shared)).select(F.col("y").alias("sid")).distinct()
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = 0) -> DataFrame:
     """Return (doc_id, text_hash, line, gone): the compared lines, from 0; gone if an earlier one (by doc_id, then place) has a similarity of 4/5 or more.
 
     An earlier line counts whether or not it is itself removed. Equal sets are
-    joined first: their first line stands for all, the others go.
+    joined first: their first line stands for all, the others go. Lines with
+    fewer than ``least`` distinct words are not compared. With ``shingle``, the
+    whole text counts as one line 0, and its runs of so many words as the words.
     """
     with small_batches(docs.sparkSession):
-        lines = cut(lines_of(docs, rarity(docs)), "lines")
+        lines = cut(lines_of(docs, rarity(docs, shingle), least, shingle), "lines")
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("n", "b1", "b2", "prefix")))
     first = first.select("at.doc_id", "at.line", "k1", "k2", "n", "b1", "b2", "prefix")
     sets = cut(in_order(first, lines), "sets")
@@ -401,7 +450,7 @@ def judged(docs: DataFrame) -> DataFrame:
     postings = postings_of(sets)
     found = cut(candidates(postings), "candidates")
     release(docs.sparkSession)
-    matched = cut(_verified(docs, sets, found), "matched")
+    matched = cut(_verified(docs, sets, found, shingle), "matched")
     release(docs.sparkSession)
     again = cut(found.filter("more").select(F.col("y").alias("sid")).distinct().join(matched, "sid", "left_anti"), "again")
     if not again.isEmpty():
@@ -413,12 +462,22 @@ def judged(docs: DataFrame) -> DataFrame:
         near = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= F.col("n") + F.col("n2") - 2 * need
         left = F.broadcast(left) if again.count() <= FEW else left
         more = cut(postings.join(left, "word").filter((F.col("sid") < F.col("y")) & fits & near).select("y", F.col("sid").alias("x")).distinct(), "more")
-        matched = cut(matched.union(_verified(docs, sets, more)).distinct(), "matched")
+        matched = cut(matched.union(_verified(docs, sets, more, shingle)).distinct(), "matched")
     verdict = cut(sets.join(matched.withColumn("gone", F.lit(True)), "sid", "left").select("k1", "k2", F.struct("doc_id", "line").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
     found = lines.select("doc_id", "text_hash", "line", "k1", "k2").join(verdict, ["k1", "k2"])
     return found.select("doc_id", "text_hash", "line", (F.col("gone") | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone"))
 
 
+def without_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose text has no earlier one (by doc_id) with a similarity of 4/5 or more on runs of ``shingle`` words.
+
+    Null texts count as empty, empty texts as equal. A shorter text is one run.
+    Rows that repeat an id and a text stay or go together.
+    """
+    left = judged(docs, 1, shingle).filter(~F.col("gone")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Return the rows of ``docs`` with their text less the removed lines, and n_lines, n_removed, n_left (int).
 
