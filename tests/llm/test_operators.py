@@ -422,3 +422,11 @@ def test_html_table(spark, small):
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows) and sorted(r.n_chars for r in rows)[:2] == [0, 0]
     assert html_text.extract(pages.limit(0)).count() == 0
     assert html_text.extract(spark.read.parquet(f"{small}/pages.parquet")).filter("n_chars = 0").count() == 0
+
+
+def test_line_dedup_query_compares_short_lines(spark, tmp_path):
+    rows = [(1, "les.\na b c d\n\nall rights reserved."), (2, "Les.\na b c\n\nRESERVED. all rights"), (3, "a b c d e\nles. les.\nstays"), (4, "中文中文\na b c x"), (5, "中文中文\nnew")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.n_lines, r.n_removed, r.n_left, r.text) for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    # four of five words are a similarity of 4/5, three of four are not
+    assert found == {1: (4, 0, 3, rows[0][1]), 2: (4, 2, 1, "a b c\n"), 3: (3, 2, 1, "stays"), 4: (2, 0, 2, rows[3][1]), 5: (2, 1, 1, "new")}

@@ -478,11 +478,11 @@ def without_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Return the rows of ``docs`` with their text less the removed lines, and n_lines, n_removed, n_left (int).
 
-    ``n_left`` counts the lines with at least LEAST_WORDS distinct words that
-    stay; lines with fewer are never compared nor removed. A null text stays
+    ``n_left`` counts the lines with at least ``least`` distinct words that
+    stay; lines with fewer are not compared nor removed. A null text stays
     null and has no lines. Rows that repeat an id and a text are one document,
     and keep or lose the same lines; other rows with one id are judged each on
     its own text, a line of theirs being the earliest only if both share it at
@@ -491,7 +491,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     out = ["n_lines", "n_removed", "n_left"]
     columns = [c for c in docs.columns if c not in out]
-    by = judged(docs).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
+    by = judged(docs, least).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
     by = by.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     joined = docs.select(*columns).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     # the lines that stay, by number; the array of lines is bound once
@@ -508,5 +508,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1)
     return found.select("doc_id", "n_lines", "n_removed", "n_left", "text")
