@@ -430,3 +430,11 @@ def test_line_dedup_query_compares_short_lines(spark, tmp_path):
     found = {r.doc_id: (r.n_lines, r.n_removed, r.n_left, r.text) for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
     # four of five words are a similarity of 4/5, three of four are not
     assert found == {1: (4, 0, 3, rows[0][1]), 2: (4, 2, 1, "a b c\n"), 3: (3, 2, 1, "stays"), 4: (2, 0, 2, rows[3][1]), 5: (2, 1, 1, "new")}
+
+
+def test_language_rejects_what_is_in_no_learned_language(spark, docs):
+    rng = random.Random(1)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(100)]
+    dictionaries = language.learn(docs)
+    assert all(r.rejected for r in language.predict(frame(spark, [(i, t, "en", "a") for i, t in enumerate(letters)]), dictionaries).collect())
+    assert language.predict(docs, dictionaries).filter("rejected").count() == 0

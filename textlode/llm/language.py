@@ -18,6 +18,8 @@ from textlode.llm._common import held_out, tidy
 
 #: The label of texts without a letter.
 NONE = "und"
+#: Share of the second cost by which the best must lie under it, in texts long enough to be measured in whole bytes; in shorter ones only ties are narrow.
+MARGIN, TIE = 0.02, 1e-4
 
 
 def learn(docs: DataFrame, rows: int = 400, size: int = 1 << 17) -> dict[str, bytes]:
@@ -89,7 +91,7 @@ def judge(text: str, compressors, thorough, dictionaries: dict[str, bytes], has_
     The cost is the compressed size. Few bytes leave ties, as a block that does
     not shrink is stored raw, so texts under ``short`` bytes are compressed at a
     more ``thorough`` level, and add their phrases in the dictionary as a
-    fraction of a byte.
+    fraction of a byte; there the margin is that of a tie at most.
     """
     if not compressors or not has_letter(text):
         return NONE, 0.0, True
@@ -100,11 +102,12 @@ def judge(text: str, compressors, thorough, dictionaries: dict[str, bytes], has_
     costs.sort()
     best = costs[0][0]
     score = 1.0 / sum(math.exp((best - n) / 2.0) for n, _ in costs)
-    narrow = len(costs) > 1 and costs[1][0] - best < margin * costs[1][0]
+    least = min(margin, TIE) if len(data) < short else margin
+    narrow = len(costs) > 1 and costs[1][0] - best < least * costs[1][0]
     return costs[0][1], score, narrow
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-4, level: int = 6) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, level: int = 6) -> DataFrame:
     """Return the rows of ``docs`` with lang_pred, score (0 to 1) and rejected.
 
     ``und``, score 0 and rejected if the text is null or has no letter, or no
@@ -129,7 +132,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 1e-
     return docs.select(*columns).withColumn("__found", udf("text")).select(*columns, *(F.col(f"__found.{c}").alias(c) for c in out))
 
 
-def identify(docs: DataFrame, margin: float = 1e-4) -> DataFrame:
+def identify(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Learn from the rows that are not held out and predict all rows of ``docs``."""
     return predict(docs, learn(docs), margin)
 
