@@ -195,3 +195,16 @@ def test_queries_against_their_sql(spark, small):
         mine = sorted(str(tuple(map(clean, r))) for r in got.select(columns).collect())
         theirs = sorted(str(tuple(map(clean, r))) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall())
         assert mine == theirs, name
+
+
+def test_registered_search_runs_the_operators_rounds(monkeypatch):
+    import inspect
+
+    from textlode.plans import more
+
+    monkeypatch.setattr(more, "_docs", lambda spark, sf_dir: None)
+    seen = {}
+    known = inspect.signature(perturb.distance_to_threshold)
+    monkeypatch.setattr(perturb, "distance_to_threshold", lambda *a, **k: seen.update((b := known.bind(*a, **k)).arguments) or b.apply_defaults() or seen.update(b.arguments))
+    more.distance_to_threshold(None, "")
+    assert seen["rounds"] == 12

@@ -42,8 +42,7 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of the greedy search over every document."""
-    return perturb.distance_to_threshold(_docs(spark, sf_dir), rounds=3)
+    return perturb.distance_to_threshold(_docs(spark, sf_dir))
 
 
 def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
