@@ -208,3 +208,26 @@ def test_registered_search_runs_the_operators_rounds(monkeypatch):
     monkeypatch.setattr(perturb, "distance_to_threshold", lambda *a, **k: seen.update((b := known.bind(*a, **k)).arguments) or b.apply_defaults() or seen.update(b.arguments))
     more.distance_to_threshold(None, "")
     assert seen["rounds"] == 12
+
+
+def test_uncertainty_has_no_row_bound(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "MOST_ROWS", 5)
+    df = spark.range(3000).selectExpr("cast(id % 40 as double) as score", "cast(id % 7 < 2 as int) as label")
+    pairs = [(r.score, r.label) for r in df.collect()]
+    test, boot = calibrate.permutation_test(df, 50), calibrate.bootstrap_auroc(df, 50)
+    pos, neg = ([s for s, y in pairs if y == k] for k in (1, 0))
+    assert test["observed_auroc"] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg))
+    assert test["min_achievable_p"] == 0 and boot["lo95"] < test["observed_auroc"] < boot["hi95"] and boot["usable"] == 50
+
+
+def test_registered_evaluations_use_the_operators_defaults(spark, monkeypatch):
+    from textlode.plans import more
+
+    calls = {}
+    df = spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, label int")
+    monkeypatch.setattr(more, "_labelled", lambda spark, sf_dir: df)
+    monkeypatch.setattr(calibrate, "leave_one_out", lambda rows, **k: calls.update(loo=k))
+    for name in ("bootstrap_auroc", "permutation_test"):
+        monkeypatch.setattr(calibrate, name, lambda *a, name=name, **k: calls.update({name: (a[1:], k)}) or {"x": 0.0})
+    more.held_out_scores(spark, ""), more.score_uncertainty(spark, "")
+    assert calls == {"loo": {}, "bootstrap_auroc": ((), {}), "permutation_test": ((), {})}

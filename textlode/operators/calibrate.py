@@ -14,7 +14,7 @@ from textlode.operators.scoring import score
 from textlode.operators.signals import LAYERS
 
 FEATURES = [f"{k}.{n}" for k in LAYERS for n in LAYERS[k]]
-#: Rows up to which whole replicates are drawn, or a model is refitted without each row, on single machines.
+#: Rows up to which a model is refitted without each row on single machines.
 MOST_ROWS = 20_000
 
 
@@ -147,28 +147,43 @@ def _summary(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(part["j"].iloc[0]), _auroc(s, y), float(-np.where(y == 1, np.log(p), np.log(1 - p)).mean()), margin)], columns=["j", "auroc", "loss", "margin"])
 
 
-def _replicates(scores: DataFrame, n: int, draw) -> np.ndarray:
-    table = _held(scores, ["score", "label"])
-    s, y = table["score"].to_numpy(float), table["label"].to_numpy(int)
-    order = np.lexsort((y, s))  # the same draws whatever the order of the rows
-    s, y = s[order], y[order]
+def _table(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and negatives at each distinct score, in order of the scores."""
+    c = metrics._counts(scores, "score", "label").toPandas().sort_values("score")
+    return c["pos"].to_numpy(np.int64), c["neg"].to_numpy(np.int64)
 
+
+def _counted_auroc(pos: np.ndarray, neg: np.ndarray) -> float:
+    p, n = int(pos.sum()), int(neg.sum())
+    if not p or not n:
+        return float("nan")
+    return float((pos.astype(float) * (2.0 * (np.cumsum(neg) - neg) + neg)).sum() / 2 / (float(p) * n))
+
+
+def _replicates(spark, n: int, draw) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"v": [draw(s, y, int(i)) for i in batch["id"]]})
+            yield pd.DataFrame({"v": [draw(int(i)) for i in batch["id"]]})
 
-    spark = scores.sparkSession
     return spark.range(0, n, numPartitions=4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "v double").toPandas()["v"].to_numpy()
 
 
 def bootstrap_auroc(scores: DataFrame, n: int = 2000, seed: int = 0) -> dict[str, float]:
-    """Mean and percentile interval of the AUROC over resamples of (score, label); those of one class are left out."""
+    """Mean and percentile interval of the AUROC over resamples of (score, label); those of one class are left out.
 
-    def draw(s: np.ndarray, y: np.ndarray, i: int) -> float:
-        take = np.random.default_rng([seed, i]).integers(0, len(y), len(y))
-        return _auroc(s[take], y[take])
+    A resample is drawn as the counts of its distinct (score, label).
+    """
+    pos, neg = _table(scores)
+    both = np.concatenate([pos, neg])
+    k = int(both.sum())
+
+    def draw(i: int) -> float:
+        if not k:
+            return float("nan")
+        taken = np.random.default_rng([seed, i]).multinomial(k, both / k)
+        return _counted_auroc(taken[: len(pos)], taken[len(pos) :])
 
-    v = _replicates(scores, n, draw)
+    v = _replicates(scores.sparkSession, n, draw)
     v = np.sort(v[~np.isnan(v)])
     if not len(v):
         return {"mean": float("nan"), "lo95": float("nan"), "hi95": float("nan"), "usable": 0}
@@ -176,18 +191,25 @@ def bootstrap_auroc(scores: DataFrame, n: int = 2000, seed: int = 0) -> dict[str
 
 
 def permutation_test(scores: DataFrame, n: int = 10_000, seed: int = 0) -> dict[str, float]:
-    """How often shuffled labels reach the observed AUROC, and the least p that so many labels allow."""
+    """How often shuffled labels reach the observed AUROC, and the least p that so many labels allow.
+
+    Shuffled labels are drawn as the number of positives at each distinct score.
+    """
     import math
 
-    table = _held(scores, ["score", "label"])
-    observed = _auroc(table["score"].to_numpy(float), table["label"].to_numpy(int))
+    pos, neg = _table(scores)
+    both = pos + neg
+    observed = _counted_auroc(pos, neg)
+    k, ones = int(both.sum()), int(pos.sum())
 
-    def draw(s: np.ndarray, y: np.ndarray, i: int) -> float:
-        return _auroc(s, np.random.default_rng([seed, i]).permutation(y))
+    def draw(i: int) -> float:
+        taken = np.random.default_rng([seed, i]).multivariate_hypergeometric(both, ones, method="count" if k <= 1_000_000 else "marginals")
+        return _counted_auroc(taken, both - taken)
 
-    hits = int((_replicates(scores, n, draw) >= observed).sum())
-    k, pos = len(table), int(table["label"].sum())
-    return {"observed_auroc": observed, "p_value": (hits + 1) / (n + 1), "min_achievable_p": 1.0 / math.comb(k, pos)}
+    hits = int((_replicates(scores.sparkSession, n, draw) >= observed).sum())
+    # beyond the range of a float the least p is 0
+    ways = math.lgamma(k + 1) - math.lgamma(ones + 1) - math.lgamma(k - ones + 1)
+    return {"observed_auroc": observed, "p_value": (hits + 1) / (n + 1), "min_achievable_p": 1.0 / math.comb(k, ones) if ways < 700 else 0.0}
 
 
 def report(df: DataFrame, key: str = "doc_id", label: str = "label", refit: bool = True) -> dict[str, dict[str, float]]:

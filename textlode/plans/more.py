@@ -74,13 +74,13 @@ def fitted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled(spark, sf_dir)
     rows = calibrate.features(docs).join(docs.select("doc_id", "label"), "doc_id")
-    return calibrate.leave_one_out(rows, epochs=200)
+    return calibrate.leave_one_out(rows)
 
 
 def score_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled(spark, sf_dir)
     scores = scoring.score(docs, signals_too=False).select(F.col("probability").alias("score"), "label").persist()
-    found = {f"bootstrap_{k}": float(v) for k, v in calibrate.bootstrap_auroc(scores, 500).items()} | {f"permutation_{k}": float(v) for k, v in calibrate.permutation_test(scores, 500).items()}
+    found = {f"bootstrap_{k}": float(v) for k, v in calibrate.bootstrap_auroc(scores).items()} | {f"permutation_{k}": float(v) for k, v in calibrate.permutation_test(scores).items()}
     return spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
 
