@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.operators import metrics
-from textlode.operators.scoring import score
+from textlode.operators import metrics, reading
+from textlode.operators.scoring import measure
 from textlode.operators.signals import LAYERS
 
 FEATURES = [f"{k}.{n}" for k in LAYERS for n in LAYERS[k]]
@@ -20,8 +20,8 @@ MOST_ROWS = 20_000
 
 def features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Return (key, one column of log-odds for each signal): a signal that a text lacks is 0."""
-    found = score(df.select(key, "text")).select(key, F.map_from_entries(F.transform("signals", lambda s: F.struct(s["name"], s["logodds"]))).alias("m"))
-    return found.select(key, *(F.coalesce(F.try_element_at("m", F.lit(f)), F.lit(0.0)).alias(f) for f in FEATURES))
+    found = df.select(key, reading.report(F.col("text")).alias("__report"))
+    return found.select(key, *(F.col("__report.logodds")[i].alias(f) for i, f in enumerate(FEATURES)))
 
 
 def fit(rows: DataFrame, names: list[str] | None = None, label: str = "label", l2: float = 0.01) -> tuple[dict[str, float], float]:
@@ -215,7 +215,7 @@ def permutation_test(scores: DataFrame, n: int = 10_000, seed: int = 0) -> dict[
 def report(df: DataFrame, key: str = "doc_id", label: str = "label", refit: bool = True) -> dict[str, dict[str, float]]:
     """Metrics of the given weights, and of weights refitted without each text; rows are kept apart by key."""
     rows = features(df, key).join(df.select(key, F.col(label).alias("label")), key).persist()
-    plain = score(df.select(key, "text", F.col(label).alias("label")), signals_too=False).select(key, "label", F.col("probability").alias("score"))
+    plain = measure(df.select(key, "text", F.col(label).alias("label")), signals_too=False).select(key, "label", F.col("probability").alias("score"))
     out = {"given": _block(plain)}
     if refit:
         out["refitted"] = _block(leave_one_out(rows, key))

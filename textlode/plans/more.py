@@ -79,7 +79,7 @@ def held_out_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _labelled(spark, sf_dir)
-    scores = scoring.score(docs, signals_too=False).select(F.col("probability").alias("score"), "label").persist()
+    scores = scoring.measure(docs, signals_too=False).select(F.col("probability").alias("score"), "label").persist()
     found = {f"bootstrap_{k}": float(v) for k, v in calibrate.bootstrap_auroc(scores).items()} | {f"permutation_{k}": float(v) for k, v in calibrate.permutation_test(scores).items()}
     return spark.createDataFrame(sorted(found.items()), "metric string, value double")
 
@@ -114,7 +114,7 @@ def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spread_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
-    found = scoring.score(turns, signals_too=False)
+    found = scoring.measure(turns, signals_too=False)
     return found.select("conv_id", "turn", F.round("total_logodds", 6).alias("total_logodds"), F.round("probability", 6).alias("probability"), "verdict")
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.functions import lexicon as lx
-from textlode.operators import metrics, scoring, signals, stylometry, windows
+from textlode.operators import metrics, reading, scoring, signals, stylometry, windows
 from textlode.plans import probe
-from textlode.plans.dialect import Duck, Spark, duck_query, spark_frame
+from textlode.plans.dialect import Duck, Spark, duck_query
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,8 +45,12 @@ def _layer_query(layer: str):
     label = {n: n.replace("__lo", "_logodds").replace("__d", "_detail") for n in names}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = spark_frame(probed(documents(spark, sf_dir).select("doc_id", "text")), signals.stages(Spark(), [layer]))
-        return found.select("doc_id", *(F.round(n, 6).alias(label[n]) for n in names))
+        def found(text: str | None) -> list[float]:
+            return [x for pair in reading.layer(layer, reading.Reading(text)) for x in pair]
+
+        docs = probed(documents(spark, sf_dir).select("doc_id", "text"))
+        values = docs.select("doc_id", reading.per_text(found, "array<double>", F.col("text")).alias("v"))
+        return values.select("doc_id", *(F.round(F.col("v")[i], 6).alias(label[n]) for i, n in enumerate(names)))
 
     sql = duck_query(_PROBED, signals.stages(Duck(), [layer]), "doc_id, " + ", ".join(f"{_rounded(n)} AS {label[n]}" for n in names))
     return run, sql
@@ -60,8 +64,14 @@ for _layer in signals.BUILDERS:
 
 
 def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark_frame(probed(documents(spark, sf_dir).select("doc_id", "text")), signals.parse(Spark()))
-    return found.select("doc_id", F.col("wc").alias("n_words"), F.size("sentences").alias("n_sentences"), F.size("paras").alias("n_paragraphs"), F.round("ident_rate", 6).alias("identifier_rate"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"))
+    def found(text: str | None) -> tuple:
+        r = reading.Reading(text)
+        return r.wc, len(r.sentences), len(r.paras), r.ident_rate, "|".join(r.sentences)
+
+    docs = probed(documents(spark, sf_dir).select("doc_id", "text"))
+    kind = "struct<n_words:int,n_sentences:int,n_paragraphs:int,identifier_rate:double,sentences:string>"
+    rows = docs.select("doc_id", reading.per_text(found, kind, F.col("text")).alias("p")).select("doc_id", "p.*")
+    return rows.select("doc_id", "n_words", "n_sentences", "n_paragraphs", F.round("identifier_rate", 6).alias("identifier_rate"), F.md5("sentences").alias("sentences_md5"))
 
 
 QUERIES["parse_counts"] = parse_counts
@@ -81,7 +91,7 @@ SQL["word_tokens"] = f"SELECT lower(w) AS word, count(*) AS n, count(DISTINCT do
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text")), signals_too=False)
+    found = scoring.measure(probed(documents(spark, sf_dir).select("doc_id", "text")), signals_too=False)
     return found.select("doc_id", F.col("word_count").alias("word_count"), F.round("total_logodds", 6).alias("total_logodds"), F.round("probability", 6).alias("probability"), "verdict", "confidence")
 
 
@@ -91,7 +101,7 @@ SQL["score_documents"] = duck_query(_PROBED, scoring.all_stages(Duck()), _SCORED
 
 
 def score_without_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text")), prompt_layer=False, signals_too=False)
+    found = scoring.measure(probed(documents(spark, sf_dir).select("doc_id", "text")), prompt_layer=False, signals_too=False)
     return found.select("doc_id", F.round("total_logodds", 6).alias("total_logodds"), F.round("probability", 6).alias("probability"), "verdict", "confidence")
 
 
@@ -100,7 +110,7 @@ SQL["score_without_prompts"] = duck_query(_PROBED, scoring.all_stages(Duck(), pr
 
 
 def layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text")), signals_too=False)
+    found = scoring.measure(probed(documents(spark, sf_dir).select("doc_id", "text")), signals_too=False)
     return found.select("doc_id", F.explode_outer("layer_totals").alias("layer", "total")).select("doc_id", "layer", F.round("total", 6).alias("total"))
 
 
@@ -110,7 +120,7 @@ SQL["layer_totals"] = "SELECT doc_id, layer, round(total, 6) AS total FROM (" +
 
 def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signals that say something, ranked within their document."""
-    found = scoring.score(probed(documents(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.posexplode_outer(scoring.top_signals()).alias("rank", "s")).filter("rank is not null")
+    found = scoring.measure(probed(documents(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.posexplode_outer(scoring.top_signals()).alias("rank", "s")).filter("rank is not null")
     return found.select("doc_id", "rank", F.col("s.name").alias("name"), F.round("s.logodds", 6).alias("logodds"), F.col("s.direction").alias("direction"))
 
 
@@ -248,8 +258,10 @@ SQL["burrows_delta"] = (
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score, label): probabilities beside labels that test the arithmetic of the metrics."""
-    scores = scoring.score(documents(spark, sf_dir).select("doc_id", "text"), signals_too=False).select("doc_id", F.round("probability", 4).alias("score"))
-    return scores.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    # the labels come first: texts without one are not scored
+    docs = documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+    return scoring.measure(docs, signals_too=False).select("doc_id", F.round("probability", 4).alias("score"), "label")
 
 
 _LABELLED = f"WITH l AS (SELECT s.doc_id, round(probability, 4) AS score, quality AS label FROM ({duck_query(_RAW, scoring.all_stages(Duck()), 'doc_id, probability')}) s JOIN labels USING (doc_id))"
