@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.operators.scoring import LEAST_WORDS, score
+from textlode.operators import reading
+from textlode.operators.reading import LEAST_WORDS
 from textlode.plans.dialect import Spark
 
 FRACTION = (250, 125)
@@ -43,9 +46,31 @@ def windows(df: DataFrame, window: int, stride: int, tail: bool, text: str = "te
     return out.repartition(spread) if spread else out
 
 
-def window_scores(df: DataFrame, window: int, stride: int, tail: bool, text: str = "text", spread: int | None = None) -> DataFrame:
-    found = windows(df, window, stride, tail, text, spread)
-    return score(found, text, signals_too=False).drop(text, "layer_totals", "total_logodds", "verdict", "confidence", "word_count")
+_SPANS = "array<struct<start:int,end:int,probability:double>>"
+
+
+def _offsets(n: int, window: int, stride: int, tail: bool) -> list[int]:
+    """Where the windows of a text of n words begin; none under 40 words."""
+    if n < LEAST_WORDS:
+        return []
+    last = max(n - window, 0)
+    return [*range(0, last + 1, stride), *([last] if tail and last % stride else [])]
+
+
+def _scored(words: list[str], window: int, stride: int, tail: bool) -> list[tuple[int, int, float]]:
+    return [(k, min(k + window, len(words)), reading.probability(" ".join(words[k : k + window]))) for k in _offsets(len(words), window, stride, tail)]
+
+
+def window_scores(df: DataFrame, window: int, stride: int, tail: bool, text: str = "text") -> DataFrame:
+    """One row for each window of ``df``'s rows: its columns less the text, n, start, end and probability. One pass, no shuffle."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
+
+    def run(x: str | None) -> dict:
+        words = (x or "").split()
+        return {"n": len(words), "w": _scored(words, window, stride, tail)}
+
+    found = df.select(*rest, reading.per_text(run, f"struct<n:int,w:{_SPANS}>", F.col(text)).alias("__w"))
+    return found.select(*rest, F.col("__w.n").alias("n"), F.explode("__w.w").alias("__x")).select(*rest, "n", "__x.start", "__x.end", "__x.probability")
 
 
 def fraction(df: DataFrame, key: str = "doc_id", window: int = FRACTION[0], stride: int = FRACTION[1], threshold: float = 0.5) -> DataFrame:
@@ -53,38 +78,58 @@ def fraction(df: DataFrame, key: str = "doc_id", window: int = FRACTION[0], stri
 
     Words after the last whole stride are not scored.
     """
-    scored = window_scores(df.select(key, "text"), window, stride, tail=False)
-    by = scored.groupBy(key).agg(F.avg((F.col("probability") >= threshold).cast("double")).alias("fraction_ai"), F.array_sort(F.collect_list(F.struct("start", "probability"))).alias("w"))
-    joined = df.select(key).join(by, key, "left")
-    return joined.select(key, F.coalesce("fraction_ai", F.lit(0.0)).alias("fraction_ai"), F.coalesce(F.transform("w", lambda x: x["probability"]), F.array().cast("array<double>")).alias("window_scores"))
+
+    def run(x: str | None) -> dict:
+        scores = [p for _, _, p in _scored((x or "").split(), window, stride, False)]
+        return {"f": sum(p >= threshold for p in scores) / len(scores) if scores else 0.0, "w": scores}
+
+    found = df.select(key, reading.per_text(run, "struct<f:double,w:array<double>>", F.col("text")).alias("__f"))
+    return found.select(key, F.col("__f.f").alias("fraction_ai"), F.col("__f.w").alias("window_scores"))
+
+
+def _machine_spans(windows: list[tuple[int, int, float]], window: int, stride: int, threshold: float) -> list[tuple[int, int]]:
+    """Runs of words whose mean over the windows that cover them is at or over the threshold.
+
+    Words between two neighbouring ends or starts of windows share their
+    windows, so the work is by such cells; a cell looks at the few windows that
+    start within a window's length before it.
+    """
+    cuts = sorted({c for s, e, _ in windows for c in (s, e)})
+    near = -(-window // stride) + 1
+    out: list[tuple[int, int]] = []
+    for a, b in pairwise(cuts):
+        first = max(a // stride - near, 0)
+        around = windows[first : first + near + 2]
+        if len(windows) > first + near + 2:
+            around = [*around, windows[-1]]
+        over = [p for s, e, p in around if s <= a < e]
+        if over and reading._total(over) / len(over) >= threshold:
+            if out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def triage(df: DataFrame, key: str = "doc_id", window: int = TRIAGE[0], stride: int = TRIAGE[1], threshold: float = 0.5) -> DataFrame:
     """Return (key, word_count, prediction, fraction_ai, fraction_assisted, machine_spans, windows, note).
 
     A word's score is the mean of the windows that cover it; spans are runs of
-    words at or over the threshold. Words between two neighbouring ends or
-    starts of windows share their windows, so the work is by such cells.
+    words at or over the threshold. Each text is read once, in one narrow projection.
     """
-    d = Spark()
-    scored = window_scores(df.select(key, "text"), window, stride, tail=True)
-    by = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "probability"))).alias("windows"))
-    all_rows = df.select(key, F.expr(f"size({tokens(d, 'coalesce(text, ' + chr(39) * 2 + ')')})").alias("word_count"))
-    joined = all_rows.join(by, key, "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<struct<start:int,end:int,probability:double>>")))
-    cells = joined.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.transform("windows", lambda w: w["start"]), F.transform("windows", lambda w: w["end"])))))
-    # windows that can cover a cell: those that start within a window's length before it, and the last
-    near = -(-window // stride)
-    around = f"concat(slice(windows, greatest(cast(c div {stride} as int) - {near}, 0) + 1, {near} + 1), filter(slice(windows, -1, 1), w -> size(windows) - 1 > greatest(cast(c div {stride} as int) - {near}, 0) + {near}))"
-    covering = f"filter({around}, w -> w.start <= c and w.`end` > c)"
-    cells = cells.withColumn("hot", F.expr(f"transform(slice(cuts, 1, greatest(size(cuts) - 1, 0)), c -> transform(array({covering}), v -> size(v) > 0 and aggregate(v, 0D, (a, w) -> a + w.probability) / size(v) >= {threshold})[0])"))
-    edge = lambda side: f"filter(transform(hot, (h, i) -> if(h and not coalesce(get(hot, i {side} 1), false), cuts[i + {1 if side == '+' else 0}], null)), x -> x is not null)"
-    spans = F.expr(f"transform(arrays_zip({edge('-')} , {edge('+')}), s -> struct(s.`0` as start, s.`1` as `end`))")
-    share = F.expr(f"if(size(windows) = 0, 0D, aggregate(windows, 0D, (a, w) -> a + if(w.probability >= {threshold}, 1, 0)) / size(windows))")
-    kind = F.when(F.col("f") <= 0.02, "human").when(F.col("f") >= 0.90, "ai").otherwise("ai_assisted")
-    out = cells.withColumn("f", share).withColumn("prediction", kind)
-    mixed = F.col("prediction") == "ai_assisted"
-    note = F.when(F.col("word_count") < LEAST_WORDS, "too short to judge").otherwise("")
-    return out.select(key, "word_count", "prediction", F.when(~mixed, F.col("f")).otherwise(0.0).alias("fraction_ai"), F.when(mixed, F.col("f")).otherwise(0.0).alias("fraction_assisted"), spans.alias("machine_spans"), "windows", note.alias("note"))
+
+    def run(x: str | None) -> dict:
+        words = (x or "").split()
+        found = _scored(words, window, stride, True)
+        share = sum(p >= threshold for _, _, p in found) / len(found) if found else 0.0
+        return {"n": len(words), "f": share, "s": _machine_spans(found, window, stride, threshold), "w": found}
+
+    kind = f"struct<n:int,f:double,s:array<struct<start:int,end:int>>,w:{_SPANS}>"
+    out = df.select(key, reading.per_text(run, kind, F.col("text")).alias("t")).select(key, "t.*")
+    kinds = F.when(F.col("f") <= 0.02, "human").when(F.col("f") >= 0.90, "ai").otherwise("ai_assisted")
+    mixed = kinds == "ai_assisted"
+    note = F.when(F.col("n") < LEAST_WORDS, "too short to judge").otherwise("")
+    return out.select(key, F.col("n").alias("word_count"), kinds.alias("prediction"), F.when(~mixed, F.col("f")).otherwise(0.0).alias("fraction_ai"), F.when(mixed, F.col("f")).otherwise(0.0).alias("fraction_assisted"), F.col("s").alias("machine_spans"), F.col("w").alias("windows"), note.alias("note"))
 
 
 def merged(spans: str) -> F.Column:
@@ -124,12 +169,12 @@ def ratios(c: DataFrame) -> DataFrame:
 
 def segments(df: DataFrame, key: str = "doc_id", window: int = 3) -> DataFrame:
     """Return (key, seg_no, chunk, probability): runs of paragraphs, scored on their own; those under 25 words are left out."""
-    from textlode.operators.signals import parse
-    from textlode.plans.dialect import spark_frame
 
-    d = Spark()
-    parsed = spark_frame(df.select(key, "text"), parse(d)[:3]).select(key, "paras")
-    size = f"greatest(1, least({window}, greatest(size(paras) div 2, 1)))"
-    chunks = f"if(size(paras) = 0, cast(array() as array<string>), transform(sequence(0, greatest(size(paras) - {size}, 0)), i -> array_join(slice(paras, cast(i as int) + 1, cast({size} as int)), '\\n\\n')))"
-    rows = parsed.select(key, F.posexplode_outer(F.expr(chunks)).alias("seg_no", "text")).filter(F.expr(f"{d.count('text', r'[^' + chr(92) + 's]+')} >= 25"))
-    return score(rows, signals_too=False).select(key, "seg_no", F.col("text").alias("chunk"), "probability")
+    def run(x: str | None) -> list[tuple[int, str, float]]:
+        paras = reading.paragraphs(x)
+        size = max(1, min(window, max(len(paras) // 2, 1)))
+        chunks = ["\n\n".join(paras[i : i + size]) for i in range(len(paras) - size + 1)]
+        return [(i, c, reading.probability(c)) for i, c in enumerate(chunks) if len(c.split()) >= 25]
+
+    found = df.select(key, reading.per_text(run, "array<struct<seg_no:int,chunk:string,probability:double>>", F.col("text")).alias("__s"))
+    return found.select(key, F.explode("__s").alias("__x")).select(key, "__x.*")
