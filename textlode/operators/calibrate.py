@@ -6,16 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlode.operators import metrics, reading
 from textlode.operators.scoring import measure
 from textlode.operators.signals import LAYERS
+from textlode.sources.tables import settled
 
 FEATURES = [f"{k}.{n}" for k in LAYERS for n in LAYERS[k]]
-#: Rows up to which a model is refitted without each row on single machines.
-MOST_ROWS = 20_000
+#: Rows up to which every fold is descended on its own; beyond, folds follow the path of all rows (``_followed``).
+MOST_ROWS = 1_000
+#: Numbers of a matrix up to which the driver holds it; larger ones stay in blocks on the executors.
+MOST_CELLS = 16_000_000
+#: Epochs from one curvature to the next; between them it is taken as straight.
+_STEP = 10
 
 
 def features(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,83 +75,182 @@ def _descend(x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.05, l2:
     return w, b
 
 
-def _held(rows: DataFrame, columns: list[str]) -> pd.DataFrame:
-    if rows.count() > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows: draw a sample, or use another evaluation")
-    return rows.select(*(F.col(f"`{c}`") for c in columns)).toPandas()
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(features and a column of ones, labels) of the batch's columns after the key: label, then features."""
+    y, *x = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+    return np.column_stack([*x, np.ones(len(y))]), y
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, curved: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Summed gradients of the loss for models w (a row each), and their curvatures on demand."""
+    p = _sigmoid(x @ w.T)
+    h = np.stack([(x * (q * (1 - q))[:, None]).T @ x for q in p.T]) if curved else None
+    return (p - y[:, None]).T @ x, h
+
+
+class _Path:
+    """The descents from zero over all rows: for each epoch the models, their mean gradients, and curvatures every _STEP epochs."""
+
+    def __init__(self, masks: np.ndarray, n: int, epochs: int, sums, rate: float = 0.05, l2: float = 0.01):
+        self.masks, self.n, self.rate, self.epochs = masks, n, rate, epochs
+        self.penalty = np.full(masks.shape[1], l2)
+        self.penalty[-1] = 0
+        w = np.zeros(masks.shape)
+        self.w, self.g, self.h = [], [], []
+        for t in range(epochs + 1):
+            curved = t % _STEP == 0 or t == epochs
+            g, h = sums(w, curved)
+            g = g / n * masks
+            if curved:
+                self.h.append(h / n * masks[:, :, None] * masks[:, None, :])
+            self.w.append(w)
+            self.g.append(g)
+            w = w - rate * (g + self.penalty * w)
+
+    def curvature(self, t: int, model: int) -> np.ndarray:
+        k, part = divmod(t, _STEP)
+        last = min((k + 1) * _STEP, self.epochs)
+        share = part / (last - k * _STEP) if part else 0.0
+        return self.h[k][model] if not part else (1 - share) * self.h[k][model] + share * self.h[k + 1][model]
+
+    def followed(self, x: np.ndarray, y: np.ndarray, model: int) -> np.ndarray:
+        """The score of each row by the descent that leaves it out.
+
+        Without a row the gradient is that of all rows less its own, at weights
+        near those of all rows: the former is taken to the first order around
+        the path, the row's own exactly.
+        """
+        n, x = self.n, x * self.masks[model]
+        v = np.zeros_like(x)
+        for t in range(self.epochs):
+            own = (_sigmoid(np.einsum("ij,ij->i", x, v)) - y)[:, None] * x
+            others = (n * (self.g[t][model] + (v - self.w[t][model]) @ self.curvature(t, model)) - own) / (n - 1)
+            v -= self.rate * (others + self.penalty * v)
+        return _sigmoid(np.einsum("ij,ij->i", x, v))
+
+
+def _out_of_sample(rows: DataFrame, key: str, label: str, names: list[str], masks: np.ndarray, epochs: int) -> DataFrame:
+    """Return (key, label, model, score): each row scored by models (rows of ``masks`` over the features and the bias) fitted without it."""
+    spark = rows.sparkSession
+    table = rows.select(F.col(f"`{key}`"), F.col(f"`{label}`").cast("int").alias("label"), *(F.col(f"`{c}`").cast("double") for c in names))
+    # every later pass must see the same rows
+    table = settled(table)
+    counts = {r[0]: r[1] for r in table.groupBy("label").count().collect()}
+    n, ones = sum(counts.values()), counts.get(1, 0)
+    kind = f"`{key}` {dict(table.dtypes)[key]}, label int, model int, score double"
+    alone = {v for v in (0, 1) if {0: n - ones, 1: ones}[v] == 1}
+
+    def scored(batch: pa.RecordBatch, by) -> Iterator[pa.RecordBatch]:
+        x, y = _matrix(batch)
+        one_class = ones in (0, n)
+        for model in range(len(masks)):
+            scores = np.full(len(y), 0.5) if one_class else by(x, y, model)
+            scores[np.isin(y, list(alone))] = 0.5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(y), model, np.int32)), pa.array(scores)], names=[key, "label", "model", "score"])
+
+    if n <= MOST_ROWS:
+        whole = table.toArrow().combine_chunks().to_batches()
+        all_x, all_y = _matrix(whole[0]) if whole else (np.zeros((0, len(names) + 1)), np.zeros(0))
+
+        def refitted(x: np.ndarray, y: np.ndarray, model: int) -> np.ndarray:
+            out = []
+            for row, own in zip(x, y, strict=True):
+                rest = np.ones(len(all_y), bool)
+                rest[np.flatnonzero((all_x == row).all(1) & (all_y == own))[0]] = False
+                w, b = _descend(all_x[rest, :-1] * masks[model, :-1], all_y[rest], epochs)
+                out.append(_sigmoid(row[:-1] * masks[model, :-1] @ w + b))
+            return np.array(out)
 
+        by = refitted
+        parts = min(max(1, n), 4 * spark.sparkContext.defaultParallelism)
+    else:
+        sums = _driver_sums(table) if n * (len(names) + 1) <= MOST_CELLS else _block_sums(table)
+        path = spark.sparkContext.broadcast(_Path(masks, n, epochs, sums))
 
-def leave_one_out(rows: DataFrame, key: str = "doc_id", label: str = "label", names: list[str] | None = None, epochs: int = 1500) -> DataFrame:
-    """Return (key, label, score): each row scored by a model fitted without it; 0.5 where the rest is of one class. Folds run in parallel."""
-    names = names or FEATURES
-    table = _held(rows, [key, label, *names])
-    x, y = table[names].to_numpy(float), table[label].to_numpy(float)
-    spark = rows.sparkSession
+        def by(x: np.ndarray, y: np.ndarray, model: int) -> np.ndarray:
+            return path.value.followed(x, y, model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = min(-(-n // 500), max(4 * spark.sparkContext.defaultParallelism, -(-n // 20_000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                yield from scored(batch.slice(a, 2_000), by)
+
+    return table.repartition(parts).mapInArrow(run, kind)
+
+
+def _driver_sums(table: DataFrame):
+    batches = [_matrix(b) for b in table.toArrow().to_batches() if b.num_rows]
+    x, y = np.concatenate([b[0] for b in batches]), np.concatenate([b[1] for b in batches])
+    return lambda w, curved: _sums(x, y, w, curved)
+
+
+def _block_sums(table: DataFrame):
+    """Sums by one pass over blocks of rows for each epoch; a lost block is read again from its table."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for i in batch["id"]:
-                rest = np.arange(len(y)) != i
-                if len(set(y[rest])) < 2:
-                    scores.append(0.5)
-                    continue
-                w, b = _descend(x[rest], y[rest], epochs)
-                scores.append(float(1 / (1 + np.exp(-np.clip(x[i] @ w + b, -60, 60)))))
-            yield pd.DataFrame({"i": batch["id"], "score": scores})
-
-    parts = min(max(1, len(y)), 4 * spark.sparkContext.defaultParallelism)
-    found = spark.range(0, len(y), numPartitions=parts).mapInPandas(run, "i long, score double")
-    ids = spark.createDataFrame([(i, k, int(v)) for i, (k, v) in enumerate(zip(table[key].tolist(), y, strict=True))], f"i long, {key} {dict(rows.dtypes)[key]}, label int")
-    return ids.join(found, "i").select(key, "label", "score")
+            x, y = _matrix(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), pa.array([np.column_stack([x, y]).tobytes()], pa.binary())], names=["n", "data"])
+
+    def opened(row) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(row["data"]).reshape(row["n"], -1)
+        return both[:, :-1], both[:, -1]
+
+    n_blocks = max(1, table.count() * len(table.columns) // 2_000_000)
+    blocks = settled(table.coalesce(n_blocks).mapInArrow(block, "n int, data binary")).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums(w: np.ndarray, curved: bool):
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1] if curved else None)
+        return blocks.map(lambda b: _sums(*b, w, curved)).treeReduce(add)
+
+    return sums
+
+
+def leave_one_out(rows: DataFrame, key: str = "doc_id", label: str = "label", names: list[str] | None = None, epochs: int = 1500) -> DataFrame:
+    """Return (key, label, score): each row scored by a model fitted without it; 0.5 where the rest is of one class.
+
+    Up to MOST_ROWS rows every fold is descended on its own. With more, the
+    descent over all rows is followed with each row's share taken out: the work
+    grows with the rows instead of their square, and scores differ by the order
+    of 1 / rows squared.
+    """
+    names = names or FEATURES
+    return _out_of_sample(rows, key, label, names, np.ones((1, len(names) + 1)), epochs).drop("model")
 
 
 def ablate(rows: DataFrame, key: str = "doc_id", label: str = "label", names: list[str] | None = None, epochs: int = 800) -> DataFrame:
     """Return (signal, auroc_without, auroc_cost, logloss_without, logloss_cost, margin_without), dearest first.
 
-    The grid of signals and folds is the parallel dimension; the matrix is that of a corpus of at most MOST_ROWS rows.
+    A signal is left out by a column of zeros, whose weight never leaves zero.
     """
     names = names or FEATURES
-    table = _held(rows, [key, label, *names])
-    x, y = table[names].to_numpy(float), table[label].to_numpy(float)
-    n = len(y)
     spark = rows.sparkSession
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for cell in batch["id"]:
-                j, i = divmod(int(cell), n)
-                keep = [k for k in range(len(names)) if k != j]
-                rest = np.arange(n) != i
-                if len(set(y[rest])) < 2:
-                    out.append((j, 0.5, y[i]))
-                    continue
-                w, b = _descend(x[np.ix_(rest, keep)], y[rest], epochs)
-                out.append((j, float(1 / (1 + np.exp(-np.clip(x[i, keep] @ w + b, -60, 60)))), y[i]))
-            yield pd.DataFrame(out, columns=["j", "score", "label"])
-
-    # the last number stands for "no signal dropped"
-    grid = spark.range(0, (len(names) + 1) * n, numPartitions=8 * spark.sparkContext.defaultParallelism).mapInPandas(run, "j int, score double, label int")
-    found = grid.groupBy("j").applyInPandas(_summary, "j int, auroc double, loss double, margin double").toPandas().set_index("j")
-    base = found.loc[len(names)]
-    out = [(names[j], float(r.auroc), float(base.auroc - r.auroc), float(r.loss), float(r.loss - base.loss), float(r.margin)) for j, r in found.iterrows() if j < len(names)]
+    # the last model leaves no signal out
+    masks = np.vstack([1 - np.eye(len(names), len(names) + 1), np.ones((1, len(names) + 1))])
+    scores = settled(_out_of_sample(rows, key, label, names, masks, epochs))
+    found = {r["model"]: r for r in _summaries(scores).collect()}
+    base = found[len(names)]
+    out = [(names[j], r.auroc, base.auroc - r.auroc, r.loss, r.loss - base.loss, r.margin) for j, r in sorted(found.items()) if j < len(names)]
     return spark.createDataFrame(sorted(out, key=lambda r: -r[4]), "signal string, auroc_without double, auroc_cost double, logloss_without double, logloss_cost double, margin_without double")
 
 
-def _auroc(s: np.ndarray, y: np.ndarray) -> float:
-    pos, neg = s[y == 1], s[y == 0]
-    if not len(pos) or not len(neg):
-        return float("nan")
-    neg = np.sort(neg)
-    return float((np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2 / (len(pos) * len(neg)))
-
-
-def _summary(part: pd.DataFrame) -> pd.DataFrame:
-    s, y = part["score"].to_numpy(), part["label"].to_numpy()
-    p = np.clip(s, 1e-12, 1 - 1e-12)
-    margin = s[y == 1].min() - s[y == 0].max() if 0 < y.sum() < len(y) else float("nan")
-    return pd.DataFrame([(int(part["j"].iloc[0]), _auroc(s, y), float(-np.where(y == 1, np.log(p), np.log(1 - p)).mean()), margin)], columns=["j", "auroc", "loss", "margin"])
+def _summaries(scores: DataFrame) -> DataFrame:
+    """Return (model, auroc, loss, margin), a row for each model."""
+    nan = F.lit(float("nan"))
+    one, zero = F.col("label") == 1, F.col("label") == 0
+    p = F.least(F.greatest("score", F.lit(1e-12)), F.lit(1 - 1e-12))
+    c = scores.groupBy("model", "score").agg(F.count(F.when(one, 1)).alias("pos"), F.count(F.when(zero, 1)).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = F.sum("pos") * F.sum("neg")
+    areas = c.withColumn("below", below).groupBy("model").agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / pairs).otherwise(nan).alias("auroc"))
+    rest = scores.groupBy("model").agg(F.avg(-F.when(one, F.log(p)).otherwise(F.log(1 - p))).alias("loss"), F.coalesce(F.min(F.when(one, F.col("score"))) - F.max(F.when(zero, F.col("score"))), nan).alias("margin"))
+    return areas.join(rest, "model")
 
 
 def _table(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
