@@ -33,7 +33,7 @@ RELIABLE_WORDS, LEAST_WORDS = 250, 40
 I, M = re.IGNORECASE, re.MULTILINE
 _WORDS = re.compile(WORD).findall
 _TOKENS = re.compile(r"\w+").findall
-_FOLD = str.maketrans("ſKİı", "skii")
+_FOLD = tuple(zip("ſKİı", "skii", strict=True))
 _FENCE = re.compile(r"```.*?```", re.S)
 _GAP = re.compile(r"\n\s*\n").split
 _STOP = re.compile(r"([.!?…])[\"'”’)\]]*\s+")
@@ -76,19 +76,23 @@ class Pattern:
 
 
 class Choice:
-    """Alternatives over the lower-cased text, each with a part without which it cannot match; only those that can are searched for."""
+    """Alternatives over the lower-cased text, of which only those that can match are searched for.
 
-    def __init__(self, alternatives: Iterable[tuple[str, str]], around: str = "(?:{})", flags: int = 0):
-        self.alternatives = tuple(alternatives)
+    Each has a part without which it cannot match; ``whole`` tells that words of
+    the part stand alone, so that a look at the text's words comes first.
+    """
+
+    def __init__(self, alternatives: Iterable[tuple[str, str]], around: str = "(?:{})", flags: int = 0, whole: bool = False):
+        self.alternatives = tuple((a, part, _key(part, whole)) for a, part in alternatives)
         self.around, self.flags = around, flags
         self.compiled: dict[tuple[str, ...], re.Pattern] = {}
 
     def pattern(self, r: Reading) -> re.Pattern | None:
-        low = r.low
-        can = tuple([a for a, part in self.alternatives if part in low])
+        low, seen = r.low, r.seen
+        can = [a for a, part, key in self.alternatives if (key is None or key in seen) and part in low]
         if not can:
             return None
-        found = self.compiled.get(can)
+        found = self.compiled.get(can := tuple(can))
         if found is None:
             if len(self.compiled) > 5_000:
                 self.compiled.clear()
@@ -104,6 +108,13 @@ class Choice:
         return len(found.findall(text)) if found else 0
 
 
+def _key(part: str, whole: bool) -> str | None:
+    """The longest word of the part that no letter can precede or follow in a text."""
+    words = re.findall(r"\w+", part)
+    words = words if whole else words[1:-1]
+    return max(words, key=len, default=None)
+
+
 class Markers:
     """A list of words and phrases: single words are looked up among the counted ones, phrases searched where they occur."""
 
@@ -114,7 +125,7 @@ class Markers:
         if any(w in re.findall("[a-z]+", p) for w in single for p in phrases):
             single, phrases = [], markers
         self.single = tuple(dict.fromkeys(single))
-        self.phrases = Choice((bounded(m), m) for m in sorted(phrases, key=len, reverse=True))
+        self.phrases = Choice(((bounded(m), m) for m in sorted(phrases, key=len, reverse=True)), whole=True)
 
     def count(self, r: Reading) -> int:
         seen = r.seen
@@ -144,13 +155,14 @@ _PERSONS = "i we my our me us mine ours you your yours".split()
 _TIERS = {1: Markers(lx.TIER1_WORDS), 2: Markers(lx.TIER2_WORDS), 3: Markers(lx.TIER3_PHRASES), 4: Markers(lx.TIER4_PHRASES)}
 _TRANSITIONS, _HEDGES, _CASUAL = Markers(lx.TRANSITIONS), Markers(lx.HEDGES), Markers(lx.CASUAL)
 _PERSON = Markers([*_PERSONS, "let's"])
-_HUMAN = Choice([*((bounded(m), m) for m in lx.HUMAN_MARKERS), (lx.HUMAN_PATTERNS[0], "whatever"), *((lx.HUMAN_PATTERNS[1], w) for w in ("right", "sure", "fine")), (lx.HUMAN_PATTERNS[2], "or ")], flags=M)
+_HUMAN = Choice([*((bounded(m), m) for m in lx.HUMAN_MARKERS), (lx.HUMAN_PATTERNS[0], "whatever"), *((lx.HUMAN_PATTERNS[1], w) for w in ("right", "sure", "fine")), (lx.HUMAN_PATTERNS[2], "or ")], flags=M, whole=True)
 _PARALLEL = re.compile(lx.NEGATIVE_PARALLEL).findall
 _DENIED = re.compile(r"n[o']t\s+(?:just|only|about|merely|simply)\b").search
 _TRIAD = re.compile(lx.TRIAD).findall
 _AND_LAST = re.compile(r",\s+and\s+\w{4}").search
 _CLOSER = Choice(branches(lx.CLOSERS.removeprefix(r"\b(?:").removesuffix(r")\b")), r"\b(?:{})\b")
-_META = Choice(branches(lx.META), r"\b(?:{})\b")
+_META = Choice((x for x in branches(lx.META) if not x[0].startswith("needs?")), r"\b(?:{})\b", whole=True)
+_NEEDED = Choice([x for x in branches(lx.META) if x[0].startswith("needs?")], r"\b(?:{})\b")
 _COORDINATED = re.compile(lx.COORDINATION).findall
 _LISTED = re.compile(r",\s+(?:and |or )\w").search
 _OPEN = Choice(branches(lx.OPEN_ENDED.removeprefix(r"\b(?:").removesuffix(")").removesuffix(r"|\.\.\.")) + [(r"\.\.\.", "...")], r"\b(?:{})")
@@ -203,6 +215,16 @@ class _Syllables(dict):
         return n
 
 
+@functools.lru_cache(maxsize=50_000)
+def _counted(part: str) -> int:
+    return len(_WORDS(part))
+
+
+def _n_words(part: str) -> int:
+    """Words of a part of a text; short parts come again in windows and in perturbed texts."""
+    return _counted(part) if len(part) < 500 else len(_WORDS(part))
+
+
 _shape, _syllables = _Shapes().__getitem__, _Syllables().__getitem__
 
 
@@ -252,7 +274,11 @@ def _opens(c: str) -> bool:
 
 def lowered(text: str) -> str:
     """Lower-cased, of the same length, with the letters that patterns fold to i, k and s."""
-    return text.lower() if text.isascii() else text.translate(_FOLD).lower()
+    if not text.isascii():
+        for letter, by in _FOLD:
+            if letter in text:
+                text = text.replace(letter, by)
+    return text.lower()
 
 
 def _prose(raw: str) -> str:
@@ -275,9 +301,9 @@ class Reading:
         self.raw = raw = text or ""
         self.prose = prose = _prose(raw)
         self.words = _WORDS(prose)
-        self.low = low = lowered(prose)
+        self.low = lowered(prose)
         tokens = _TOKENS(prose)
-        self.seen = Counter((" ".join(tokens).lower().split(" ") if tokens else ()) if prose.isascii() else _TOKENS(low))
+        self.seen = Counter(lowered(" ".join(tokens)).split(" ") if tokens else ())
         self.wc = wc = len(self.words)
         self.per = max(wc, 1)
         self.lwords = " ".join(self.words).lower().split(" ") if wc else []
@@ -293,7 +319,7 @@ class Reading:
 
     @functools.cached_property
     def para_words(self) -> list[int]:
-        return [self.wc] if len(self.paras) == 1 else [len(_WORDS(p)) for p in self.paras]
+        return [self.wc] if len(self.paras) == 1 else [_n_words(p) for p in self.paras]
 
     @functools.cached_property
     def lines(self) -> list[str]:
@@ -301,18 +327,7 @@ class Reading:
 
     @functools.cached_property
     def sentences(self) -> list[str]:
-        out: list[str] = []
-        for block in self._blocks():
-            pieces = _STOP.sub("\\1\x02", block).split("\x02") if block else ()
-            tail = ""
-            for k, piece in enumerate(p for p in map(str.strip, pieces) if p):
-                if k and tail[-1:] == "." and _unfinished(tail):
-                    out[-1] += " " + piece
-                    tail = (tail + " " + piece)[-12:]
-                else:
-                    out.append(piece)
-                    tail = piece[-12:]
-        return out
+        return [s for block in self._blocks() for s in (_split_short(block) if len(block) < 2_000 else _split(block))]
 
     def _blocks(self) -> list[str]:
         """Lines that run on, joined."""
@@ -328,7 +343,26 @@ class Reading:
 
     @functools.cached_property
     def sentence_words(self) -> list[int]:
-        return [len(_WORDS(s)) for s in self.sentences]
+        return [_n_words(s) for s in self.sentences]
+
+
+def _split(block: str) -> tuple[str, ...]:
+    """The sentences of a block: abbreviations and initials do not end one."""
+    out: list[str] = []
+    tail = ""
+    for piece in map(str.strip, _STOP.sub("\\1\x02", block).split("\x02")):
+        if not piece:
+            continue
+        if out and tail[-1:] == "." and _unfinished(tail):
+            out[-1] += " " + piece
+            tail = (tail + " " + piece)[-12:]
+        else:
+            out.append(piece)
+            tail = piece[-12:]
+    return tuple(out)
+
+
+_split_short = functools.lru_cache(maxsize=5_000)(_split)
 
 
 def _ends(line: str, after: str) -> bool:
@@ -517,7 +551,7 @@ def syntax(r: Reading) -> Pairs:
             share = (len(grams) - len(set(grams))) * 100.0 / len(grams)
         else:
             share = _mean([(196 - len(set(grams[k : k + 196]))) * 100.0 / 196 for k in range(0, wc - 199, 100)])
-    clauses = [float(n) for n in (len(_WORDS(x)) for x in _CLAUSE(r.prose)) if n > 1]
+    clauses = [float(n) for n in map(_n_words, _CLAUSE(r.prose)) if n > 1]
     cv = _cv(clauses) if len(clauses) >= 20 else 0.0
     return [
         (clamp((share - 10.0) * 0.18, 1.5) * min(wc / 300, 1.0) if wc >= 150 else 0.0, share),
@@ -529,7 +563,7 @@ def stance(r: Reading) -> Pairs:
     wc = r.wc
     absence = presence = 0.0
     if wc >= 180:
-        presence = r.per_1k(_PERSON.count(r) + _META.count(r, r.low) + r.prose.count("?"))
+        presence = r.per_1k(_PERSON.count(r) + _META.count(r, r.low) + _NEEDED.count(r, r.low) + r.prose.count("?"))
         if presence < 8:
             absence = (0.50 + 1.00 * max(0.0, min((wc - 180) / 820, 1.0))) * (1.0 - 0.25 * (presence / 8)) * r.damping
         elif presence >= 55:
