@@ -7,7 +7,8 @@ length, by the places of the shared word and by a parity bitmap of the sets, all
 of which only rule out what cannot match; what is left is verified on the whole
 sets. A line goes when an earlier line matches it.
 
-Words are hashes of 44 bits, which leaves room to sort them together with their line. The rarity order comes from a table of counts of fixed
+Candidates are found on hashes of words, of 44 bits, which leaves room to sort them together with their line;
+their similarity is that of the words themselves. Every table of a step is deleted once its reader is written. The rarity order comes from a table of counts of fixed
 size, in which rare words may share a slot: that changes the order and what is
 compared, never the result.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.llm._common import blocks, cut, release, small_batches, tidy
+from textlode.llm._common import blocks, cut, discard, release, small_batches, tidy
 
 #: Similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
@@ -382,8 +383,16 @@ def _marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (marks[key >> np.uint64(3)] >> (7 - (key & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+def _set_of(part: bytes, shingle: int) -> list[bytes]:
+    """The distinct words of a lower-cased line, or runs of ``shingle`` words of a text; a shorter text is one run."""
+    words = part.split()
+    if shingle:
+        words = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
+    return list(dict.fromkeys(words))
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 0) -> DataFrame:
-    """Return (sid, words): the whole sets of ``wanted`` (sid, doc_id, line, k1, k2), read from the texts again.
+    """Return (sid, words): the whole sets of ``wanted`` (sid, doc_id, line, k1, k2), read from the texts again as words, not as hashes.
 
     A filter of fixed size tells the scan which lines to give; those it lets
     through by chance fall out in the join.
@@ -414,23 +423,25 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 0) -> DataFra
                 h, at, line, row, n, k1, k2 = _keyed(text, first_line, ALONE, shingle)
                 if not len(n):
                     continue
-                key = _wanted_key(ids[row + a], line, k1)
-                hit = _marked(shared.value, key)
-                ends = np.append(0, np.cumsum(n[hit])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[hit[at]].view(np.int64)))], names=["k1", "k2", "words"])
+                hit = np.flatnonzero(_marked(shared.value, _wanted_key(ids[row + a], line, k1)))
+                parts = text.lower().split(b"\n")
+                last = np.append(first_line[1:], len(parts))
+                words = [_set_of(b"\n".join(parts[first_line[r] : last[r]]) if shingle else parts[first_line[r] + at_line], shingle) for r, at_line in zip(row[hit].tolist(), line[hit].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array(words, pa.list_(pa.binary()))], names=["k1", "k2", "words"])
 
-    sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<long>")
+    sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<binary>")
     with small_batches(docs.sparkSession):
         return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = 0) -> DataFrame:
-    """The lines y (sid) of ``pairs`` (y, x) whose whole sets reach the similarity."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The lines y (sid) of ``pairs`` (y, x) whose whole sets reach the similarity, and the table that this reads."""
     ends = pairs.select(F.col("y").alias("sid")).union(pairs.select("x")).distinct()
     whole = _whole_sets(docs, sets.join(ends, "sid", "left_semi").select("sid", "doc_id", "line", "k1", "k2"), shingle)
     a, b = whole.toDF("y", "a"), whole.toDF("x", "b")
     shared = F.size(F.array_intersect("a", "b"))
-    return pairs.select("y", "x").distinct().join(a, "y").join(b, "x").filter(DEN * shared >= NUM * (F.size("a") + F.size("b") - shared)).select(F.col("y").alias("sid")).distinct()
+    met = pairs.select("y", "x").distinct().join(a, "y").join(b, "x")
+    return met.filter(DEN * shared >= NUM * (F.size("a") + F.size("b") - shared)).select(F.col("y").alias("sid")).distinct(), whole
 
 
 def judged(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = 0) -> DataFrame:
@@ -441,6 +452,11 @@ def judged(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = 0) -> DataF
     fewer than ``least`` distinct words are not compared. With ``shingle``, the
     whole text counts as one line 0, and its runs of so many words as the words.
     """
+    return _judged(docs, least, shingle)[0]
+
+
+def _judged(docs: DataFrame, least: int, shingle: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """``judged``, and the tables to discard once it is written."""
     with small_batches(docs.sparkSession):
         lines = cut(lines_of(docs, rarity(docs, shingle), least, shingle), "lines")
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), *(F.any_value(c).alias(c) for c in ("n", "b1", "b2", "prefix")))
@@ -450,9 +466,12 @@ def judged(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = 0) -> DataF
     postings = postings_of(sets)
     found = cut(candidates(postings), "candidates")
     release(docs.sparkSession)
-    matched = cut(_verified(docs, sets, found, shingle), "matched")
+    near, whole = _verified(docs, sets, found, shingle)
+    matched = cut(near, "matched")
+    discard(whole)
     release(docs.sparkSession)
     again = cut(found.filter("more").select(F.col("y").alias("sid")).distinct().join(matched, "sid", "left_anti"), "again")
+    discard(found)
     if not again.isEmpty():
         # few lines are left: their words go to where the others' are; more of them meet those in a shuffle
         left = postings_of(sets.join(again, "sid", "left_semi"))
@@ -460,12 +479,17 @@ def judged(docs: DataFrame, least: int = LEAST_WORDS, shingle: int = 0) -> DataF
         need = F.ceil((F.col("n") + F.col("n2")) * NUM / (NUM + DEN) - 1e-9)
         fits = (F.greatest("place", "p2") == LAST_PLACE) | (F.least("place", "p2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) >= need)
         near = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= F.col("n") + F.col("n2") - 2 * need
-        left = F.broadcast(left) if again.count() <= FEW else left
+        left = F.broadcast(left) if left.count() <= FEW else left
         more = cut(postings.join(left, "word").filter((F.col("sid") < F.col("y")) & fits & near).select("y", F.col("sid").alias("x")).distinct(), "more")
-        matched = cut(matched.union(_verified(docs, sets, more, shingle)).distinct(), "matched")
+        near, whole = _verified(docs, sets, more, shingle)
+        both = cut(matched.union(near).distinct(), "matched")
+        discard(whole, more, matched)
+        matched = both
+    discard(again)
     verdict = cut(sets.join(matched.withColumn("gone", F.lit(True)), "sid", "left").select("k1", "k2", F.struct("doc_id", "line").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
+    discard(sets, matched)
     found = lines.select("doc_id", "text_hash", "line", "k1", "k2").join(verdict, ["k1", "k2"])
-    return found.select("doc_id", "text_hash", "line", (F.col("gone") | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone"))
+    return found.select("doc_id", "text_hash", "line", (F.col("gone") | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone")), [lines, verdict]
 
 
 def without_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -474,7 +498,10 @@ def without_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Null texts count as empty, empty texts as equal. A shorter text is one run.
     Rows that repeat an id and a text stay or go together.
     """
-    left = judged(docs, 1, shingle).filter(~F.col("gone")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found, used = _judged(docs, 1, shingle)
+    left = cut(found.filter(~F.col("gone")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "left")
+    discard(*used)
+    release(docs.sparkSession)
     return docs.join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
 
 
@@ -491,9 +518,12 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     out = ["n_lines", "n_removed", "n_left"]
     columns = [c for c in docs.columns if c not in out]
-    by = judged(docs, least).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
-    by = by.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    joined = docs.select(*columns).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    found, used = _judged(docs, least)
+    by = found.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
+    by = cut(by.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "gone")
+    discard(*used)
+    release(docs.sparkSession)
+    joined = docs.select(*(F.col(f"`{c}`") for c in columns)).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     # the lines that stay, by number; the array of lines is bound once
     kept = "array_join(transform(array(split(text, '\\n')), a -> transform(array_except(sequence(0, size(a) - 1), __gone), i -> a[i]))[0], '\\n')"
     removed = F.coalesce(F.size("__gone"), F.lit(0))
@@ -504,7 +534,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             "n_left": F.coalesce("__left", F.lit(0)).cast("int"),
         }
     )
-    return counted.select(*(F.when(F.col("n_removed") > 0, F.expr(kept)).otherwise(F.col("text")).alias(c) if c == "text" else c for c in columns), *out)
+    return counted.select(*(F.when(F.col("n_removed") > 0, F.expr(kept)).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in columns), *out)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
