@@ -21,8 +21,10 @@ def features(docs: DataFrame) -> DataFrame:
 
     Repeated windows are found by sorting: the high bits of a window's hash over
     its place in the text, one long for each window, so that equal windows meet.
+    The words of windows that meet are compared; should any differ, the windows
+    themselves are sorted.
     """
-    text = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
+    text = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
     split = text.select(
         "doc_id",
         "host",
@@ -33,6 +35,7 @@ def features(docs: DataFrame) -> DataFrame:
     hashed = split.select(
         "doc_id",
         "host",
+        "words",
         F.size("words").cast("long").alias("n_words"),
         F.expr("cast(length(t) - length(translate(t, '%s', '')) as long)" % SYMBOLS).alias("n_symbols"),
         F.expr(r"cast(length(translate(t, ' \t\n\u000B\u000C\r', '')) as long)").alias("word_chars"),
@@ -42,6 +45,13 @@ def features(docs: DataFrame) -> DataFrame:
     )
     placed = hashed.withColumn("n", F.size("windows").cast("long")).withColumn("ordered", F.expr("sort_array(transform(windows, (h, i) -> h - h % n + i))"))
     again = placed.withColumn("at", F.expr("sort_array(transform(filter(ordered, (x, k) -> coalesce(get(ordered, k + 1) div n = x div n, false) or coalesce(get(ordered, k - 1) div n = x div n, false)), x -> x % n))"))
+    met = "filter(transform(ordered, (x, k) -> if(coalesce(get(ordered, k + 1) div n = x div n, false), struct(cast(x % n as int) as a, cast(ordered[k + 1] % n as int) as b), null)), p -> p is not null)"
+    differ = " or ".join(f"words[p.a + {o}] <> words[p.b + {o}]" for o in range(3))
+    again = again.withColumn("clash", F.expr(f"size(at) > 0 and exists({met}, p -> {differ})"))
+    sorted_windows = "sort_array(transform(sequence(0, cast(n as int) - 1), i -> struct(words[i] as a, words[i + 1] as b, words[i + 2] as c, cast(i as long) as i)))"
+    same = lambda k: f"coalesce(struct(get(v, {k}).a, get(v, {k}).b, get(v, {k}).c) = struct(x.a, x.b, x.c), false)"
+    exactly = f"sort_array(transform(transform(array({sorted_windows}), v -> filter(v, (x, k) -> {same('k + 1')} or {same('k - 1')}))[0], x -> x.i))"
+    again = again.withColumn("at", F.expr(f"if(clash, {exactly}, at)"))
     return again.select(
         "doc_id",
         "host",
@@ -87,7 +97,7 @@ def op6_line_frequency(spark, sf_dir: str) -> DataFrame:
 #: DuckDB, over the same tables.
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d

@@ -4,7 +4,9 @@ A source's target over its size is the number of copies that each of its
 documents should have. Its whole part is given to all with certainty. For the
 rest, documents are ranked by their random odds over their inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and the sample is the head of that order, cut
-where the words come nearest to what is left of the target.
+where the words come nearest to what is left of the target. Inclusion odds are
+in proportion to a document's words, so that a long document is likelier to be
+in than a short one; what all documents of a source share leaves the order alone.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ def draw(seed: int, *columns: str) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def ratio() -> Column:
+    """Random odds over inclusion odds: the latter as the words, one for a document without any."""
+    return F.col("u") / (1 - F.col("u")) / F.greatest("size", F.lit(1))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """Return (source, source_size, target) for (source, source_size): ``weights`` repeat by code point, null last.
 
@@ -66,12 +73,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, bi
     source of its own. The draw depends on seed, id and text, so that reruns
     agree and rows that repeat are taken or left together. Other columns are ignored.
 
-    The head of a source's order is found from sums over ``bins`` equal bins of
-    the draw; only the bin in which the target falls is ranked row by row, so
+    The head of a source's order is found from sums over ``bins`` bins of the
+    logarithm of the odds; only the bin in which the target falls is ranked row by row, so
     that a source of any size is no single task.
     """
     own = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), words().alias("size"), mark().alias("mark"))
-    own = cut(own.withColumn("u", draw(seed, "doc_id", "mark")).withColumn("bin", F.floor(F.col("u") * bins).cast("int")), "sizes")
+    own = cut(own.withColumn("u", draw(seed, "doc_id", "mark")).withColumn("order", ratio()).withColumn("bin", F.floor((F.log2("order") + 128) * (bins / 256)).cast("int")), "sizes")
     by = ["name", "unnamed"]
     binned = cut(own.groupBy(*by, "bin").agg(F.sum("size").alias("words")), "bins")
     source = F.when(~F.col("unnamed"), F.col("name"))
@@ -82,21 +89,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, bi
     goal = goal.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     goal = cut(goal.withColumn("share", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)).withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull()), "targets")
 
-    # odds are equal within a source, so that the order by random over inclusion odds is the order of the bins
+    # the logarithm does not change the order, so that bins follow it
     up_to = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edges = binned.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0))).join(goal.select(*by, "rest"), by)
     cut_bin = edges.filter(F.col("before") <= F.col("rest")).groupBy(*by).agg(F.max(F.struct("bin", "before")).alias("at")).select(*by, F.col("at.bin").alias("cut_bin"), F.col("at.before").alias("before"))
     goal = cut(goal.join(cut_bin, by, "left"), "cuts")
 
     found = own.join(F.broadcast(goal) if goal.count() <= 100_000 else goal, by)
-    odds = (F.col("u") / (1 - F.col("u"))) / F.when(F.col("share") > 0, F.col("share") / (1 - F.least("share", F.lit(1 - 1e-12)))).otherwise(1e-300)
-    edge = found.filter(F.col("bin") == F.col("cut_bin")).withColumn("order", odds)
+    edge = found.filter(F.col("bin") == F.col("cut_bin"))
     in_order = Window.partitionBy(*by).orderBy("order", "doc_id", "mark")
     summed = edge.withColumn("to", F.col("before") + F.sum("size").over(in_order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("size"))
     # the cut that comes nearest: a document whose middle lies before the target is in
     last = summed.filter((F.col("from") + F.col("to")) / 2 <= F.col("rest")).groupBy(*by).agg(F.max(F.struct("order", "doc_id", "mark")).alias("last"))
     last = goal.select(*by).join(last, by, "left")
-    found = found.withColumn("order", odds).join(F.broadcast(last) if goal.count() <= 100_000 else last, by)
+    found = found.join(F.broadcast(last) if goal.count() <= 100_000 else last, by)
     inside = F.when(F.col("share") <= 0, False).when(F.col("bin") < F.col("cut_bin"), True).when(F.col("bin") > F.col("cut_bin"), False)
     inside = inside.otherwise(F.coalesce(F.struct("order", "doc_id", "mark") <= F.col("last"), F.lit(False)))
     return found.select("doc_id", F.when(~F.col("unnamed"), F.col("name")).alias("source"), "size", "mark", "source_size", "target", F.least(F.col("whole") + inside.cast("int"), F.lit(MOST)).alias("copies"))
@@ -107,7 +113,7 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), seed: int =
     taken = mix(docs, weights, seed).filter("copies > 0").select("doc_id", "mark", F.col("source").alias("s"), "copies").distinct()
     marked = docs.withColumn("__mark", mark())
     joined = marked.join(taken, marked["doc_id"].eqNullSafe(taken["doc_id"]) & (marked["__mark"] == taken["mark"]) & marked["source"].eqNullSafe(taken["s"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(docs[c] for c in docs.columns))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(marked[f"`{c}`"] for c in docs.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -135,7 +141,7 @@ WITH d AS (
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM g
 ), o AS (
-  SELECT u.*, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, mark) AS up_to FROM u
+  SELECT u.*, sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u) / greatest(size, 1), doc_id, mark) AS up_to FROM u
 )
 SELECT doc_id, size, source_size, target,
   (size * least(3, whole + (target - whole * source_size > 0 AND up_to - size / 2 <= target - whole * source_size)::INT))::BIGINT AS taken

@@ -28,8 +28,8 @@ def _encoder(path: str):
     """The ids that the tokenizer file gives a text without added special tokens.
 
     The file's byte-level vocabulary, whose ids follow the order of the merges,
-    is run by the faster library; a text that holds a special token's string
-    goes to the file's own library.
+    is run by the faster library; a text that holds a special token's string, or
+    a run of white space too long for it, goes to the file's own library.
     """
     import json
 
@@ -43,13 +43,19 @@ def _encoder(path: str):
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    # what the file must say for the faster library's pattern and vocabulary to be its own
+    if model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model.get("normalizer"):
+        raise ValueError(f"{path} does not split texts by the byte-level pattern without normalising them")
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return fast.encode_to_numpy(text).astype("<u4")
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text).astype("<u4")
+            except ValueError:  # its pattern tries a run of white space from the end, to a depth that has a limit
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
