@@ -427,9 +427,9 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 0) -> DataFra
                 parts = text.lower().split(b"\n")
                 last = np.append(first_line[1:], len(parts))
                 words = [_set_of(b"\n".join(parts[first_line[r] : last[r]]) if shingle else parts[first_line[r] + at_line], shingle) for r, at_line in zip(row[hit].tolist(), line[hit].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array(words, pa.list_(pa.binary()))], names=["k1", "k2", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array(words, pa.list_(pa.binary())).cast(pa.list_(pa.string()), safe=False)], names=["k1", "k2", "words"])
 
-    sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<binary>")
+    sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<string>")  # of strings, whose common ones Spark finds by hashing; of bytes it would compare all with all
     with small_batches(docs.sparkSession):
         return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
 
