@@ -57,11 +57,26 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the actions inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: no lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: no lineage, survives lost executors.
+
+    What the writing shuffled is deleted with it: a write plans its own shuffles, which nothing reads again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textlode/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._cut_path = path
     return found
