@@ -24,7 +24,7 @@ def features(docs: DataFrame) -> DataFrame:
     The words of windows that meet are compared; should any differ, the windows
     themselves are sorted.
     """
-    text = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
+    text = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
     split = text.select(
         "doc_id",
         "host",
@@ -72,7 +72,7 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, left: float = 0
     left without such lines are fewer than ``left`` of its words, or when the
     base rules fail: under 50 words, or over half of them in repeated windows.
 
-    A null text has no words; a null source is a host of its own. Null and
+    A null text has no words; a null source and an empty one are the same host. Null and
     repeated ids are rows like any other: rows, not ids, count as documents.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -97,7 +97,7 @@ def op6_line_frequency(spark, sf_dir: str) -> DataFrame:
 #: DuckDB, over the same tables.
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS host, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
