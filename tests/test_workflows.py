@@ -104,6 +104,8 @@ def test_out_of_sample(spark, rows):
     assert table[0].signal == "a" and table[0].logloss_cost > 0 > table[1].logloss_cost - 0.05
     one = calibrate.leave_one_out(rows.limit(2), names=["a"], epochs=10).collect()
     assert {r.score for r in one} == {0.5}
+    dotted = calibrate.leave_one_out(rows.withColumnsRenamed({"a": "x.a", "b": "x.b"}), names=["x.a", "x.b"], epochs=300).collect()
+    assert {(r.doc_id, r.score) for r in dotted} == {(r.doc_id, r.score) for r in loo}
 
 
 def test_uncertainty(spark):

@@ -136,7 +136,8 @@ class _Path:
 def _out_of_sample(rows: DataFrame, key: str, label: str, names: list[str], masks: np.ndarray, epochs: int) -> DataFrame:
     """Return (key, label, model, score): each row scored by models (rows of ``masks`` over the features and the bias) fitted without it."""
     spark = rows.sparkSession
-    table = rows.select(F.col(f"`{key}`"), F.col(f"`{label}`").cast("int").alias("label"), *(F.col(f"`{c}`").cast("double") for c in names))
+    # plain names: mapInArrow takes a dot in a column's name for a field
+    table = rows.select(F.col(f"`{key}`"), F.col(f"`{label}`").cast("int").alias("label"), *(F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(names)))
     # every later pass must see the same rows
     table = settled(table)
     counts = {r[0]: r[1] for r in table.groupBy("label").count().collect()}
