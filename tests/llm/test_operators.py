@@ -416,6 +416,46 @@ def test_labelling_is_a_minimum_cut():
         assert cost(html_text.label(scores, edges)) == pytest.approx(best)
 
 
+ARTICLE = "<article><p>A whole first sentence of the text.</p><p><a href=x>One link here</a></p><p>And the last sentence, closing it.</p></article>"
+KEPT = ["A whole first sentence of the text.", "One link here", "And the last sentence, closing it."]
+
+
+def test_html_keeps_whole_articles():
+    for page in (ARTICLE, "<head><title>x</title><body>" + ARTICLE, "<head><title>x</title>" + ARTICLE, "<body><svg/>" + ARTICLE, "<svg><path d=x/><g><text>no</text></g></svg>" + ARTICLE, "<iframe src=x />" + ARTICLE):
+        assert html_text.main_text(page).split("\n\n") == KEPT
+    one = "<p>A whole first sentence of this text, kept.</p>"
+    for page in (f'<div class="post tags-list">{one}</div>', f'<main><div class="side">{one}</div></main>', one):
+        assert html_text.main_text(page) == one[3:-4]
+    advert = f'<div class="ad">{"buy this now. " * 100}</div><div class="post-comments"><p>{"I like it. " * 200}</p></div>'
+    assert html_text.main_text(ARTICLE.replace("</article>", advert + "</article>")).split("\n\n") == KEPT
+
+
+def test_html_cut_decides_on_whole_pages():
+    import itertools
+
+    menu = "<ul>" + "".join(f"<li><a href={k}>Link {k}</a></li>" for k in range(4)) + "</ul>"
+    changed = 0
+    for page in (ARTICLE, ARTICLE.replace("</article>", menu + "</article>"), menu + ARTICLE, PAGE, f"<div>{menu}<p>Some words</p><p>A sentence with more of them.</p></div>"):
+        blocks, has_article = html_text.parse(page)
+        scores, edges = [html_text.evidence(b, has_article) for b in blocks], html_text.links(blocks, 1.5)
+
+        def cost(labels, scores=scores, edges=edges):
+            return sum(abs(s) for s, x in zip(scores, labels, strict=True) if x != (s > 0)) + sum(w for a, b, w in edges if labels[a] != labels[b])
+
+        best = min(cost(x) for x in itertools.product((False, True), repeat=len(blocks)))
+        assert cost(html_text.label(scores, edges)) == pytest.approx(best)
+        changed += html_text.main_text(page) != html_text.main_text(page, 0.0)
+    assert changed >= 2 and "Link" not in html_text.main_text(menu + ARTICLE)
+
+
+def test_html_deep_pages_are_linear():
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text("<div>x" * 20_000)
+    assert time.perf_counter() - start < 5
+
+
 def test_html_table(spark, small):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, None, "y"), (None, "u", "", "z"), (4, "v", "<p>" * 20000 + "deep text, a whole sentence of it." + "<b>" * 3000, "w")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()

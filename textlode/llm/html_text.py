@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,27 +28,40 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ENDS_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 
-# fixed values: words of class, id and role names that tell boilerplate and content apart
-BAD_NAMES = re.compile(r"^(ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|notification\w*|alert\w*|newsletter\w*|subscri\w*|comments?|commentlist|replies|reply|respond|disqus|discussion|sidebar\w*|side|nav\w*|menu\w*|foot|footer\w*|masthead|head|header|topbar|breadcrumbs?|share|sharing|social\w*|related|recommend\w*|widget\w*|login|signup|popup|modal|overlay|disclaimer|copyright|pagination|pager|toolbar|tags?|search\w*|contentinfo|complementary|navigation|hidden)$")
-GOOD_NAMES = re.compile(r"^(article\w*|content|main|post|entry|story|body|text)$")
+# words of class, id and role names: never content; content or not, as the rest has it; content
+BAD_NAMES = re.compile(r"ads?|adv|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|newsletter\w*|subscri\w*|comments?|commentlist|replies|reply|respond|disqus|sidebar\w*|nav|navbar\w*|navigation|menu\w*|footer\w*|masthead|topbar|breadcrumbs?|sharing|share|social\w*|related|recommend\w*|widget\w*|login|signup|popup|modal|overlay|pagination|pager|toolbar|contentinfo|complementary|notices?|notification\w*|alert\w*|banner\w*|header|hidden")
+OPEN_NAMES = re.compile(r"side|foot|head|tags?|search\w*|discussion|disclaimer|copyright|nav\w+")
+GOOD_NAMES = re.compile(r"article\w*|content|main|post|entry|story|body|text")
+HEADING = re.compile(r"h[1-6]")
+HEAD_PARTS = frozenset("title meta link script style base noscript template".split())
+
+
+@dataclass
+class _Element:
+    """An open element; what is said of it holds for all that is in it."""
+
+    tag: str
+    around: _Element | None = None  # nearest element that makes blocks, itself included
+    parent: _Element | None = None  # of those, the next outer one
+    depth: int = 0
+    weight: float = 0.0  # for content, summed from the outside
+    barred: bool = False  # in a part that is never content
+    skipped: bool = False
+    article: bool = False
+    heading: bool = False
+    link: bool = False
+    foreign: bool = False
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
+    element: _Element
     link_chars: int = 0
-    heading: bool = False
-    weight: float = 0.0  # what the elements around it say
 
 
-@dataclass
-class _Element:
-    tag: str
-    number: int
-    weight: float
-    skipped: bool
-    article: bool
+_OUTSIDE = _Element("")
+_OUTSIDE.around = _OUTSIDE
 
 
 @dataclass
@@ -58,17 +71,22 @@ class _Parser(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[_Element] = []
-        self.made, self.parts, self.link_chars, self.in_article = 0, [], 0, False
-        self.at: list[_Element] = []
+        self.counts: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.link_chars, self.at = 0, None
+
+    def _top(self) -> _Element:
+        return self.open[-1] if self.open else _OUTSIDE
+
+    def _cut(self, k: int) -> None:
+        self.counts.subtract(e.tag for e in self.open[k:])
+        del self.open[k:]
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            block_level = [e for e in self.at if e.tag not in INLINE]
-            links = min(len(text), self.link_chars)
-            self.blocks.append(Block(text, tuple(e.number for e in block_level), links, any(re.fullmatch("h[1-6]", e.tag) for e in block_level), sum(e.weight for e in self.at)))
-            self.in_article |= any(e.article for e in self.at)
-        self.parts, self.link_chars = [], 0
+            self.blocks.append(Block(text, self.at or self._top(), min(len(text), self.link_chars)))
+        self.parts, self.link_chars, self.at = [], 0, None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -78,12 +96,30 @@ class _Parser(HTMLParser):
             self._close_implied(tag)
         if tag in VOID:
             return
-        inside = any(e.article for e in self.open)
-        self.made += 1
-        self.open.append(_Element(tag, self.made, self._weight(tag, dict(attrs), inside), tag in SKIPPED or self._hidden(dict(attrs)), tag in ("article", "main")))
+        outer, own = self._top(), dict(attrs)
+        weight, barred = self._names(tag, own, outer.article)
+        found = _Element(
+            tag,
+            weight=outer.weight + weight,
+            barred=outer.barred or barred,
+            skipped=outer.skipped or tag in SKIPPED or self._hidden(own),
+            article=outer.article or tag in ("article", "main"),
+            heading=outer.heading or bool(HEADING.fullmatch(tag)),
+            link=outer.link or tag == "a",
+            foreign=outer.foreign or tag in ("svg", "math"),
+        )
+        if tag in INLINE:
+            found.around = outer.around
+        else:
+            found.around, found.parent, found.depth = found, outer.around, outer.around.depth + 1
+        self.open.append(found)
+        self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """``<div/>`` opens an element, but drawings and what is skipped have nothing in them when written so."""
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.open and (self.open[-1].foreign or tag in SKIPPED):
+            self._cut(len(self.open) - 1)
 
     @staticmethod
     def _hidden(attrs: dict[str, str | None]) -> bool:
@@ -91,22 +127,32 @@ class _Parser(HTMLParser):
         return "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
 
     @staticmethod
-    def _weight(tag: str, attrs: dict[str, str | None], inside: bool) -> float:
+    def _names(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[float, bool]:
+        """(weight for content, whether nothing in it is content) by the element's own names."""
         if tag in ("html", "body"):
-            return 0.0
+            return 0.0, False
         if tag in BOILERPLATE or (tag == "header" and not inside):
-            return -12.0
-        names = [x for k in ("class", "id", "role") for x in re.split(r"[^a-z0-9]+", (attrs.get(k) or "").lower()) if x]
-        if any(BAD_NAMES.match(x) for x in names) and tag not in ("article", "main") and not (inside and re.fullmatch("h[1-6]|header", tag)):
-            return -12.0
-        return (4.0 if tag in ("article", "main") else 0.0) + (1.5 if any(GOOD_NAMES.match(x) for x in names) else 0.0)
+            return 0.0, True
+        if tag in ("article", "main"):
+            return 4.0, False
+        whole = [x for k in ("class", "id", "role") for x in (attrs.get(k) or "").lower().split()]
+        parts = [x for w in whole for x in re.split(r"[^a-z0-9]+", w) if x]
+        good = any(GOOD_NAMES.fullmatch(w) for w in whole)
+        bad = any(BAD_NAMES.fullmatch(x) for x in parts) and not (inside and (HEADING.fullmatch(tag) or tag == "header"))
+        # a name that stands alone says more than a part of a longer one
+        if bad and not good:
+            return 0.0, True
+        unsure = bad or not good and any(OPEN_NAMES.fullmatch(x) for x in parts)
+        return 1.5 * any(GOOD_NAMES.fullmatch(x) for x in parts) - 3.0 * unsure, False
 
     def _close_implied(self, tag: str) -> None:
-        """A block-level element ends an open paragraph; an item ends the item before it."""
+        """A block-level element ends an open paragraph; an item ends the item before it; the body, and what cannot be in a head, ends the head."""
+        if self.counts["head"] and (tag == "body" or self.open[-1].tag == "head" and tag not in HEAD_PARTS):
+            self._cut(next(k for k, e in enumerate(self.open) if e.tag == "head"))
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k].tag
             if name == "p" or name == tag and tag in ENDS_ITSELF:
-                del self.open[k:]
+                self._cut(k)
                 return
             if name not in INLINE and (name not in ENDS_ITSELF or name in ENDS_ITSELF.get(tag, ())):
                 return
@@ -114,41 +160,61 @@ class _Parser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
+        if not self.counts[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
             if tag in INLINE and self.open[k].tag not in INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
-        if any(e.skipped for e in self.open):
+        some = not data.isspace()
+        if some and self.open and self.open[-1].tag == "head":
+            self._cut(len(self.open) - 1)
+        top = self._top()
+        if top.skipped:
             return
-        if not self.parts or not "".join(self.parts).strip():
-            self.at = list(self.open)
+        if some and self.at is None:
+            self.at = top
         self.parts.append(data)
-        if any(e.tag == "a" for e in self.open):
+        if top.link:
             self.link_chars += len(data.strip())
 
 
 def parse(html: str) -> tuple[list[Block], bool]:
-    """The blocks of a page in order, and whether it has an article element with text."""
+    """The blocks of a page in order, and whether it has an article element with text of its own."""
     parser = _Parser()
     parser.feed(html)
     parser.close()
     parser._flush()
-    return parser.blocks, parser.in_article
+    return parser.blocks, any(b.element.article and not b.element.barred for b in parser.blocks)
 
 
 def evidence(block: Block, has_article: bool) -> float:
     """Log-odds that a block is content: the classifier, linear in what is known of it."""
-    n = len(block.text)
+    n, element = len(block.text), block.element
     words = block.text.count(" ") + 1
     ends = block.text.rstrip("\"'»”’)").endswith((".", "!", "?", ":", "…"))
-    score = -1.2 + 0.5 * math.log1p(words) + 0.8 * ends + 1.2 * block.heading - 6.0 * block.link_chars / n + block.weight
+    score = (-1.2 if has_article else -0.2) + 0.5 * math.log1p(words) + 0.8 * ends + 1.2 * element.heading - 4.0 * block.link_chars / n
     if re.match(r"(©|\(c\)\s|copyright\b)", block.text, re.I):
         score -= 4.0
-    return score - (2.5 if has_article and block.weight < 4.0 else 0.0)
+    if element.barred:
+        return score - 8.0
+    return score + element.weight - (2.5 if has_article and not element.article else 0.0)
+
+
+def steps(a: _Element, b: _Element) -> int:
+    """Elements between two places of a page. What lies between blocks in order was opened or closed there, so all steps of a page are linear in its size."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent or _OUTSIDE
+        else:
+            b = b.parent or _OUTSIDE
+        n += 1
+    return n
 
 
 class MaxFlow:
@@ -241,32 +307,36 @@ def label(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     return [scores[i] > 0 if fixed[i] else side[i] for i in range(n)]
 
 
-def main_text(html: str, smooth: float = 0.8) -> str:
-    """The blocks labelled as content, joined by an empty line."""
-    blocks, has_article = parse(html)
-    if not blocks:
-        return ""
+def links(blocks: list[Block], smooth: float) -> list[tuple[int, int, float]]:
+    """Edges of neighbours, the heavier the nearer they are in the page's tree, and of blocks under one element that others part."""
     edges = []
     last_under: dict[int, int] = {}
     for i, block in enumerate(blocks):
+        here = block.element.around
         if i:
-            before = blocks[i - 1].path
-            common = sum(1 for a, b in zip(before, block.path, strict=False) if a == b)
-            steps = len(before) + len(block.path) - 2 * common
-            edges.append((i - 1, i, smooth / (1 + steps)))
-        parent = block.path[-2] if len(block.path) > 1 else 0
-        if (j := last_under.get(parent, i - 1)) < i - 1:
-            edges.append((j, i, smooth / 3))
-        last_under[parent] = i
-    labels = label([evidence(b, has_article) for b in blocks], edges)
+            edges.append((i - 1, i, smooth / max(1, steps(blocks[i - 1].element.around, here) - 1)))
+        under = id(here.parent)
+        if (j := last_under.get(under, i)) < i - 1:
+            edges.append((j, i, smooth / 2))
+        last_under[under] = i
+    return edges
+
+
+def main_text(html: str, smooth: float = 1.5) -> str:
+    """The blocks labelled as content, joined by an empty line."""
+    blocks, has_article = parse(html)
+    labels = label([evidence(b, has_article) for b in blocks], links(blocks, smooth))
     return "\n\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Return (page_id, url, text, n_chars long): a row per row of ``pages``.
 
-    A null or empty html gives an empty text. Null and repeated ids and urls are
-    carried as they are; other columns are ignored.
+    A null or empty html gives an empty text, an empty table no rows. Null and
+    repeated ids and urls are carried as they are; other columns are ignored.
+    Labels that cost the same are told apart by the cut, the same in every run.
+    Very long and very deep pages take time in line with their size, but for
+    cuts among very many doubtful blocks in a row.
     """
     kinds = dict(pages.dtypes)
 
