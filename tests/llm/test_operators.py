@@ -265,6 +265,34 @@ def test_sharding(spark, odd, empty, docs):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes, shards, least", [([3] * 400, 40, 0.9), ([2, 3, 4, 5] * 1000, 40, 0.95), ([700, *[2] * 400, *[1] * 500], 10, 0.9), ([1] * 50, 40, 1)])
+def test_sharding_keeps_links(spark, sizes, shards, least):
+    rows = spark.createDataFrame([(k, f"g{g}") for k, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))], "row_id long, link string")
+    found = sharding.propagate(rows, shards).join(rows, "row_id").collect()
+    total, counts = sum(sizes), Counter(r.shard for r in found)
+    assert len(found) == len({r.row_id for r in found}) == total
+    assert max(counts.values()) - min(counts[s] for s in range(shards)) <= 1 and set(counts) <= set(range(shards))
+    here = Counter((r.link, r.shard) for r in found)
+    small = {f"g{g}": n for g, n in enumerate(sizes) if 1 < n <= total // shards}
+    kept = sum(n * (n - 1) for (g, _), n in here.items() if g in small)
+    assert kept >= least * sum(n * (n - 1) for n in small.values())
+    assert all(r.together == here[r.link, r.shard] for r in found if r.link in small)
+
+
+def test_quotas_refuse_the_fewest():
+    import random
+
+    for seed in range(50):
+        draw = random.Random(seed)
+        asks = {(a, b): draw.randint(1, 9) for a in range(6) for b in range(6) if a != b and draw.random() < 0.6}
+        room = [draw.randint(0, 3) for _ in range(6)]
+        granted = sharding._quotas(asks, room)
+        assert all(0 < n <= asks[m] for m, n in granted.items())
+        for j in range(6):
+            assert sum(n for (_, b), n in granted.items() if b == j) - sum(n for (a, _), n in granted.items() if a == j) <= room[j]
+    assert sharding._quotas({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+
+
 def test_line_frequency_against_sql(spark, odd, docs, small):
     import duckdb
 
