@@ -381,6 +381,16 @@ def test_line_dedup(spark, docs, monkeypatch, leaders, up_to):
     assert {(r.doc_id, r.line) for r in line_dedup.judged(docs).filter("gone").collect()} == plain_removals(texts)
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    text = ("Some words \tand\nlines " * 50 + "x" * 300 + "\n\n" + "a b\n" * 100 + "y" * 200).encode()
+    whole = line_dedup.words_of(text, 64)
+    for size in (1, 7, 64, 250):
+        monkeypatch.setattr(line_dedup, "_AT_ONCE", size)
+        assert b"".join(line_dedup._parts(text)) == text
+        found = line_dedup.words_of(text, 64)
+        assert (found[0] == whole[0]).all() and (found[1] == whole[1]).all() and found[2] == whole[2] == text.count(b"\n") + 1
+
+
 def test_line_dedup_edges(spark, odd, empty):
     found = line_dedup.dedup_lines(odd)
     assert found.columns == [*odd.columns, "n_lines", "n_removed", "n_left"] and found.count() == odd.count()

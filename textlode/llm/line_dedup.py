@@ -16,6 +16,7 @@ compared, never the result.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ _AT_ONCE, _POSTINGS = 1 << 20, 1 << 18
 LEADERS, ALL_UP_TO = 2048, 8
 
 _BASE = 0x9E3779B97F4A7C15
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -66,8 +68,34 @@ def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about _AT_ONCE bytes that end at white space, or after one word that is longer."""
+    start = 0
+    while len(text) - start > _AT_ONCE:
+        end = start + _AT_ONCE
+        space = max(text.rfind(b" ", start, end), text.rfind(b"\n", start, end))
+        if space < start:
+            found = _SPACES.search(text, end)
+            space = found.start() if found else len(text) - 1
+        yield text[start : space + 1]
+        start = space + 1
+    yield text[start:]
+
+
 def words_of(text: bytes, bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash, line) of each word of a text in order, and the number of its \\n-split lines; A-Z are lower-cased."""
+    """(hash, line) of each word of a text in order, and the number of its \\n-split lines; A-Z are lower-cased.
+
+    A long text is read part by part: what is held for each byte, some forty times its size, is held for one part.
+    """
+    hashes, lines, before = [], [], 0
+    for part in _parts(text):
+        h, line, n = _words_of(part, bits)
+        hashes.append(h), lines.append(line + before)
+        before += n - 1
+    return (hashes[0], lines[0], before + 1) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(lines), before + 1)
+
+
+def _words_of(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     data = np.frombuffer(text.lower(), dtype=np.uint8)
     n = len(data)
     word = np.zeros(n + 2, dtype=np.int8)
