@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests import plain
 from textlode.functions import lexicon as lx
-from textlode.operators import metrics, scoring, signals, stylometry, windows
+from textlode.operators import metrics, reading, scoring, signals, stylometry, windows
 from textlode.plans.dialect import Spark, spark_frame
 from textlode.plans.probe import SUFFIXES, probed
 
@@ -263,3 +264,19 @@ def test_running_sums(spark):
     values = sorted({rng.random() for _ in range(300)})
     df = spark.createDataFrame([(v, 1) for v in values], "v double, c int").repartition(5)
     assert sorted((r.v, r.before_c) for r in metrics.running(df, ["v"], ["c"]).collect()) == [(v, i) for i, v in enumerate(values)]
+
+
+def test_a_changed_text_is_read_where_it_changed():
+    text = "\n".join(f"Part {k} was long, wide, and tall. It isn't  the FileName of my_file {k}, dont say i think so. Sure, \nfine ... " for k in range(40))
+    first = reading.Reading(text)
+    known = len(reading._PIECES)
+    second = reading.Reading(text.replace("Part 7 was", "Part 7 is"))
+    assert first.wc == second.wc == len(re.findall(reading.WORD, text)) and len(reading._PIECES) == known + 1
+    words = [w.lower() for w in re.findall(reading.WORD, text)]
+    grams = Counter(zip(words, words[1:], words[2:], words[3:]))
+    found = reading.statistical(first)
+    assert found[3][1] == sum(c for c in grams.values() if c > 1) / (len(words) - 3)
+    assert found[2][1] == reading._mean([len(set(words[k : k + 50])) / 50 for k in range(0, len(words) - 49, 10)])
+    assert reading.forensics(first)[6][1] == first.per_1k(sum(p.count(first, text) for p in reading._IRREGULAR))
+    assert first.named == 80 and reading.lexical(first)[5][1] == first.per_1k(len(reading._TRIAD(first.low)))
+    assert reading.stance(first)[1][1] == first.per_1k(max(Counter(w for w in words if len(w) > 3).values()))
