@@ -182,6 +182,26 @@ def test_registered_queries(spark, small):
     assert entry.entry(spark).count() == 200
 
 
+@pytest.mark.parametrize("name", ["attack_cluster_identifiers", "parse_counts", "structural_signals", "discourse_signals", "top_signals"])
+def test_letters_beyond_ascii_bound_words_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from textlode.plans import more, registry  # noqa: F401
+
+    plain = "in the yard we sat and spoke of many small things that had been there for years and went home late at night"
+    inside = f"{plain} äFileReader éUnitParser ßTimeSlot"
+    named = f"{plain} FileReader UnitParser TimeSlot file_names time_slots"
+    dispersed = "\n\n".join([named, plain, inside, plain, named, inside])
+    broken = "Nobody knew what they had said about chllía\nBefore that day it was all quiet.\n" * 12 + "Was it so?\n" * 3
+    spark.createDataFrame([(27, dispersed), (41, broken)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    mine = sorted(str(tuple(map(str, r))) for r in got.collect())
+    theirs = sorted(str(tuple(map(str, r))) for r in con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.SQL[name]})").fetchall())
+    assert mine == theirs
+
+
 def test_queries_against_their_sql(spark, small):
     import duckdb
 

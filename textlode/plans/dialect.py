@@ -51,6 +51,11 @@ class Spark:
         flags = "(?" + "i" * fold + "m" * lines + "dU)"
         return self.text(flags + pattern.replace(r"[\s", "[" + BLANK))
 
+    @staticmethod
+    def narrow(pattern: str) -> str:
+        r"""The pattern with \b at ASCII words only, which is all that DuckDB knows."""
+        return pattern.replace(r"\b", "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))")
+
     def count(self, x: str, pattern: str, fold: bool = False, lines: bool = False) -> str:
         return f"regexp_count({x}, {self.regex(pattern, fold, lines)})"
 
@@ -187,6 +192,10 @@ class Duck(Spark):
         wide = r"\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
         return self.text((f"(?{flags})" if flags else "") + pattern.replace(r"[\s", "[" + wide).replace(r"[^\s", "[^" + wide))
 
+    @staticmethod
+    def narrow(pattern: str) -> str:
+        return pattern
+
     def count(self, x: str, pattern: str, fold: bool = False, lines: bool = False) -> str:
         return f"len(regexp_extract_all({x}, {self.regex(pattern, fold, lines)}))"
 
