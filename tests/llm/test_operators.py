@@ -516,3 +516,23 @@ def test_language_rejects_what_is_in_no_learned_language(spark, docs):
     dictionaries = language.learn(docs)
     assert all(r.rejected for r in language.predict(frame(spark, [(i, t, "en", "a") for i, t in enumerate(letters)]), dictionaries).collect())
     assert language.predict(docs, dictionaries).filter("rejected").count() == 0
+
+
+def test_whole_sets_are_shuffled_once(spark, monkeypatch):
+    plans, write = [], line_dedup.cut
+
+    def noted(df, name="cut"):
+        if name == "whole":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k, "one two three four five six\none two three four five seven") for k in range(4)] + [(9, "one two three four five six eight")], "doc_id long, text string")
+        found = line_dedup.dedup_lines(docs, least=1).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r.n_removed for r in found] == [0, 2, 2, 2, 1]
+    assert plans and not any("Exchange" in p.split("SortMergeJoin")[0] for p in plans)  # none above the join

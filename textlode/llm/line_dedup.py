@@ -458,8 +458,9 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 0) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array(words, pa.list_(pa.binary())).cast(pa.list_(pa.string()), safe=False)], names=["k1", "k2", "words"])
 
     sets = docs.select(did, "text").mapInArrow(run, "k1 long, k2 long, words array<string>")  # of strings, whose common ones Spark finds by hashing; of bytes it would compare all with all
+    # a key is one set's, so copies of it go before the join, which then finds the words where they are
     with small_batches(docs.sparkSession):
-        return cut(wanted.select("sid", "k1", "k2").join(sets, ["k1", "k2"]).dropDuplicates(["sid"]).select("sid", "words"), "whole")
+        return cut(wanted.select("sid", "k1", "k2").join(sets.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("sid", "words"), "whole")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = 0) -> tuple[DataFrame, DataFrame]:
