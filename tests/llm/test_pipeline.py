@@ -110,3 +110,49 @@ def test_near_copies_of_five_word_similarity_go(spark, small):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, small)
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(texts) - {b for _, b in pairs})
+
+
+def test_texts_that_bitmaps_rule_out_are_not_read_again(spark, monkeypatch):
+    """2 and 3 are half alike, in their rarest runs too: a candidate whose words need no shuffle."""
+    from textlode.llm import line_dedup
+
+    rows, write = {}, line_dedup.cut
+
+    def noted(df, name="cut"):
+        found = write(df, name)
+        rows.setdefault(name, []).append((found.distinct().count(), dict(found.dtypes)))
+        return found
+
+    monkeypatch.setattr(line_dedup, "cut", noted)
+    p, q, r = (" ".join(f"{x}{i}" for i in range(400)) for x in "pqr")
+    docs = spark.createDataFrame([(1, f"{p} {q}"), (2, f"{p} {r}"), (3, f"{q} {r}"), (4, f"{p} {q} y")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.without_copies(docs).collect()) == [1, 2, 3]
+    assert rows["candidates"][0][0] == 2 and [n for n, _ in rows["whole"]] == [2] and rows["whole"][0][1]["words"] == "binary"
+    assert "prefix" not in rows["keys"][0][1]
+
+
+def test_wide_bitmaps_differ_in_no_more_bits_than_sets_in_words():
+    import numpy as np
+
+    from textlode.llm import line_dedup
+
+    rng = np.random.default_rng(3)
+    for n, m, same in ((300, 300, 0), (300, 1100, 250), (5000, 5200, 4900), (400, 400, 400)):
+        h = rng.integers(0, 1 << 44, n + m - same, dtype=np.uint64)
+        a, b = h[:n], h[n - same :]
+        apart = line_dedup._wide_apart(line_dedup._wide_bitmap(a), line_dedup._wide_bitmap(b))
+        assert apart <= n + m - 2 * same and (same or apart > 100)
+
+
+def test_tables_of_counts_are_scattered_in_few_bytes(spark):
+    import numpy as np
+
+    from textlode.llm import line_dedup
+
+    table = np.random.default_rng(5).poisson(0.3, 1 << 16).astype(np.uint32)
+    table[:3] = 0, 70000, 1 << 31
+    batch = line_dedup._scattered(table)
+    assert sum(len(x) for x in batch.column(1).to_pylist()) == len(table) // 8
+    parts = spark.createDataFrame([tuple(r.values()) for r in batch.to_pylist()] * 2, line_dedup._SPARSE)
+    found = line_dedup._gathered(parts, len(table), np.uint32, np.maximum, lambda t: t)
+    assert (found == table).all()
