@@ -108,6 +108,11 @@ def test_out_of_sample(spark, rows):
     assert {(r.doc_id, r.score) for r in dotted} == {(r.doc_id, r.score) for r in loo}
 
 
+def test_out_of_sample_in_any_order(spark, rows):
+    one, other = (calibrate.leave_one_out(r, names=["a", "b"], epochs=300).collect() for r in (rows.coalesce(1).sortWithinPartitions("a"), rows.coalesce(1).sortWithinPartitions(F.desc("b"))))
+    assert {(r.doc_id, r.score) for r in one} == {(r.doc_id, r.score) for r in other}
+
+
 def test_uncertainty(spark):
     df = spark.createDataFrame([(k / 10, int(k >= 5)) for k in range(10)], "score double, label int")
     boot = calibrate.bootstrap_auroc(df, 200)
