@@ -381,6 +381,38 @@ def test_line_dedup(spark, docs, monkeypatch, leaders, up_to):
     assert {(r.doc_id, r.line) for r in line_dedup.judged(docs).filter("gone").collect()} == plain_removals(texts)
 
 
+@pytest.mark.parametrize("hot", [255, 0])
+def test_postings_are_shuffled_in_blocks(spark, monkeypatch, hot):
+    """Words of ten lines in all, in blocks and (hot) in turns; a row for each posting would be thousands."""
+    monkeypatch.setattr(line_dedup, "HOT", hot, raising=False)
+    monkeypatch.setattr(line_dedup, "TURNS", 5, raising=False)
+    monkeypatch.setattr(line_dedup, "LEADERS", 4)
+    monkeypatch.setattr(line_dedup, "ALL_UP_TO", 1)
+    plans, write = [], line_dedup.cut
+
+    def noted(df, name="cut"):
+        if name == "candidates":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", noted)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(60)}" for _ in range(25)] for _ in range(10)]
+    rows = []
+    for i in range(120):
+        lines = [list(rng.choice(base)) for _ in range(3)]
+        for words in lines:
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(25)] = f"w{rng.randrange(60)}"
+        rows.append((i * 7, "\n".join(map(" ".join, lines))))
+    texts = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    gone = plain_removals(rows)
+    assert {(r.doc_id, r.line) for r in line_dedup.judged(texts).filter("gone").collect()} == gone and len(gone) > 100
+    found = {r.doc_id: (r.n_removed, r.n_left) for r in line_dedup.dedup_lines(texts).collect()}
+    assert found == {i: (n := sum(j == i for j, _ in gone), 3 - n) for i, _ in rows}
+    assert plans and all("postings" in p and "Generate" not in p for p in plans)
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     text = ("Some words \tand\nlines " * 50 + "x" * 300 + "\n\n" + "a b\n" * 100 + "y" * 200).encode()
     whole = line_dedup.words_of(text, 64)
