@@ -330,13 +330,6 @@ def lines_of(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, shin
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, line int, of int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<long>" + ", wide binary" * bool(shingle))
 
 
-def _possible(n1, p1, n2, p2):
-    """Whether lines of n1 and n2 words that share the words at p1 and p2 can reach the similarity, and how many words they may differ in."""
-    need = -(-NUM * (n1 + n2) // (NUM + DEN))
-    fits = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need
-    return fits | (np.maximum(p1, p2) == LAST_PLACE), n1 + n2 - 2 * need
-
-
 def postings_of(sets: DataFrame) -> DataFrame:
     """Return (p, sid, n, b1, b2): the prefix words of distinct lines with their places, in one number, which is less to shuffle."""
     return sets.select(F.explode("prefix").alias("p"), "sid", "n", "b1", "b2")
@@ -362,7 +355,7 @@ def in_order(first: DataFrame, lines: DataFrame) -> DataFrame:
     return first.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line").withColumn("sid", F.monotonically_increasing_id())
 
 
-def _pairs(word, p, sid, n, b1, b2, known, leaders: int, up_to: int):
+def _pairs(word, p, sid, n, b1, b2, known, leaders: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(y, x, more) of postings in the order of (word, sid); of those ``known`` from before no y is made."""
     place = p & LAST_PLACE
     m = len(word)
@@ -370,20 +363,34 @@ def _pairs(word, p, sid, n, b1, b2, known, leaders: int, up_to: int):
     new_run[1:] = word[1:] != word[:-1]
     start = np.maximum.accumulate(np.where(new_run, np.arange(m), 0))
     rank = np.arange(m) - start
+    b1, b2 = b1.view(np.uint64), b2.view(np.uint64)
+    unknown = place == LAST_PLACE
+    some_unknown = bool(unknown.any())
+    short = np.int32 if n.max(initial=0) < 1 << 27 else np.int64
+    size, ahead = n.astype(short), place.astype(short)
+    rest = size - ahead
     active = np.flatnonzero((rank > 0) & ~known)
+    behind, first, n1, p1, rest1 = rank[active], start[active], size[active], ahead[active], rest[active]
     seen = np.zeros(m, dtype=np.int32)
     found_y, found_x = [], []
     for q in range(min(leaders, int(rank.max(initial=0)))):
-        active = active[(rank[active] > q) & (seen[active] <= up_to)]
-        if not len(active):
-            break
-        j = start[active] + q
-        fits, differ = _possible(n[j], place[j], n[active], place[active])
-        # bitmaps are compared where sizes and places allow a match
-        active_fit, j, differ = active[fits], j[fits], differ[fits]
-        far = sum(np.bitwise_count((b[j] ^ b[active_fit]).view(np.uint64)).astype(np.int32) for b in (b1, b2))
-        good = (far <= differ) | (np.maximum(n[j], n[active_fit]) > WIDE)
-        y = active_fit[good]
+        if q < 4 or q % 4 == 0:
+            left = (behind > q) & (seen[active] <= up_to)
+            active, behind, first, n1, p1, rest1 = (c[left] for c in (active, behind, first, n1, p1, rest1))
+            if not len(active):
+                break
+        j = first + q
+        # lines that share the words at two places have at most so many in common as come before and after both
+        fits = (np.minimum(p1, ahead.take(j, mode="clip")) + np.minimum(rest1, rest.take(j, mode="clip"))) * (NUM + DEN) >= (n1 + size.take(j, mode="clip")) * NUM
+        if some_unknown:
+            fits |= unknown[active] | unknown.take(j, mode="clip")
+        fits = np.flatnonzero(fits & (behind > q))
+        y, j = active[fits], j[fits]
+        total = n[y].astype(np.int64) + n[j]
+        differ = total - 2 * -(-NUM * total // (NUM + DEN))
+        far = np.bitwise_count(b1[j] ^ b1[y]).astype(np.int32) + np.bitwise_count(b2[j] ^ b2[y])
+        good = (far <= differ) | (np.maximum(n[j], n[y]) > WIDE)
+        y = y[good]
         seen[y] += 1
         found_y.append(y), found_x.append(j[good])
     y, x = (np.concatenate(f) if f else np.zeros(0, dtype=np.int64) for f in (found_y, found_x))
