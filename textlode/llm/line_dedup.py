@@ -678,10 +678,11 @@ def _judged(docs: DataFrame, least: int, shingle: int = 0) -> tuple[DataFrame, l
         discard(near, more, matched)
         matched = both
     discard(again)
-    # both sides go by key, so that what matched meets the sets where the lines do
-    verdict = sets.select("k1", "k2", F.struct("doc_id", "line").alias("at")).join(matched.select("k1", "k2", F.lit(True).alias("gone")), ["k1", "k2"], "left")
+    # written first: Spark splits a line that is very common only in a join of two tables
+    verdict = cut(sets.select("k1", "k2", F.struct("doc_id", "line").alias("at")).join(matched.select("k1", "k2", F.lit(True).alias("gone")), ["k1", "k2"], "left"), "verdict")
+    discard(sets, matched)
     found = lines.join(verdict, ["k1", "k2"])
-    return found.select("doc_id", "text_hash", "line", (F.col("gone").isNotNull() | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone"), "of"), [lines, sets, matched]
+    return found.select("doc_id", "text_hash", "line", (F.col("gone").isNotNull() | ~F.col("at").eqNullSafe(F.struct("doc_id", "line"))).alias("gone"), "of"), [lines, verdict]
 
 
 def without_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
