@@ -280,3 +280,46 @@ def test_a_changed_text_is_read_where_it_changed():
     assert reading.forensics(first)[6][1] == first.per_1k(sum(p.count(first, text) for p in reading._IRREGULAR))
     assert first.named == 80 and reading.lexical(first)[5][1] == first.per_1k(len(reading._TRIAD(first.low)))
     assert reading.stance(first)[1][1] == first.per_1k(max(Counter(w for w in words if len(w) > 3).values()))
+
+
+def test_counts_by_piece_are_those_of_the_text():
+    rng = random.Random(4)
+    lines = [x for s in SUFFIXES for x in s.split("\n")]
+    for k in range(60):
+        text = "\n".join(rng.choices(lines, k=25)) + " it's\n own your\tcode. i went,\nand went... bold, brave,  and clear!! " * (k % 3)
+        r = reading.Reading(text)
+        for kind in (*reading._TIERS.values(), reading._TRANSITIONS, reading._HEDGES, reading._CASUAL, reading._PERSON):
+            assert r.found[kind] == kind.count(r)
+        for kind in (reading._META, reading._NEEDED, reading._PROMPT):
+            assert r.found[kind] == kind.count(r, r.low)
+        assert r.found[reading._CONTRACTED] == len(reading._CONTRACTED.compiled.findall(r.low)) and r.found[reading._SHOUTED] == len(reading._SHOUTED.compiled.findall(r.prose))
+        if r.prose is text:
+            found = reading.forensics(r)
+            assert found[5][1] == sum(len(p.compiled.findall(text)) for p in reading._MARKDOWN) * 100 / r.per
+            assert r.wc < 300 or found[6][1] == r.per_1k(sum(len(p.compiled.findall(text)) for p in reading._IRREGULAR))
+        words = [w.lower() for w in re.findall(reading.WORD, r.prose)]
+        before, rank = reading._ranked(r.table[0])
+        assert [(b, words[b]) if b >= 0 else None for b in before] == [next(((j, w) for j in range(i - 1, -1, -1) if words[j] == w), None) for i, w in enumerate(words)]
+        assert len(set(zip(rank.tolist(), words, strict=True))) == len(set(words))
+        for width, step in ((50, 10), (196, 100)):
+            if len(words) >= width:
+                assert reading._different(before, width, step) == [len(set(words[i : i + width])) for i in range(0, len(words) - width + 1, step)]
+
+
+def test_a_changed_text_is_counted_where_it_changed(monkeypatch):
+    text = "\n".join(f"Part {k} was not just long, wide, and tall, but I think it's moreover fine. You must say so in part {k}; perhaps we delve." for k in range(40))
+    reading.probability(text)
+    seen = []
+    monkeypatch.setattr(reading, "_LOCAL", {k: (lambda x, *a, f=f: seen.append(x) or f(x, *a)) for k, f in reading._LOCAL.items()})
+    again = reading.probability(text.replace("Part 7 was", "Part 7 is"))
+    assert {x.text for x in seen} == {text.split("\n")[7].replace("was", "is").split(". ")[0] + ". "} and 0 < again < 1
+
+
+def test_words_of_one_text_keep_their_numbers(monkeypatch):
+    reading._PIECES.clear()
+    monkeypatch.setattr(reading._PIECES, "known", reading._Words())
+    first = reading.Reading("one two one three")
+    reading._PIECES.clear()
+    reading._PIECES.known = reading._Words()
+    second = reading.Reading("three two two four")
+    assert second.ranked[1].tolist() == [0, 1, 1, 2] and first.ranked[1].tolist() == [0, 1, 0, 2]
