@@ -323,3 +323,9 @@ def test_words_of_one_text_keep_their_numbers(monkeypatch):
     reading._PIECES.known = reading._Words()
     second = reading.Reading("three two two four")
     assert second.ranked[1].tolist() == [0, 1, 1, 2] and first.ranked[1].tolist() == [0, 1, 0, 2]
+
+
+def test_words_of_a_known_piece_are_not_counted_again(monkeypatch):
+    r = reading.Reading("Oak trees grew there. Elm trees, ash trees, did not. \nThe end came")
+    monkeypatch.setattr(reading, "_WORDS", None)
+    assert [reading._n_words(x) for x in ("Oak trees grew there.", "Elm trees, ash trees, did not.", "The end came")] == [4, 6, 3] and r.wc == 13

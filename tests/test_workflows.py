@@ -39,6 +39,12 @@ def test_attacks(spark):
         assert apply(spark, a.name, None) is None and apply(spark, a.name, "") == ""
 
 
+def test_white_space_in_plain_words():
+    for space in ("  ", " \t", "\n\n", "\r\n", "\u00a0\u00a0", "\u2003 ", "\x1c\x1d"):
+        assert perturb.in_plain_words(f"one{space}two three", None) == "one two three"
+    assert perturb.in_plain_words("one\ntwo\u00a0three four", None) == "one\ntwo\u00a0three four"
+
+
 def test_attack_measures(spark, docs):
     rows = perturb.single_effects(docs).collect()
     assert len(rows) == 9 * docs.count() and all(r["drop"] == pytest.approx(r.baseline - r.score_after) for r in rows)
